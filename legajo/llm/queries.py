@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from legajo.llm.jaccard_join import op4_jaccard_join
 from legajo.llm.substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op4_jaccard_join, op8_substring_dedup)}
 ORACLES: dict[str, str] = {}
