@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from legajo.session import find_package
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch may hold, so that very long texts don't fill a worker."""
+    find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
@@ -40,11 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs.
+
+    It does so when the driver's JVM collects the plans that own them; a plan
+    is held until the listeners have seen its last event, so this waits a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def ranked(df: DataFrame, order: list[str | Column], name: str = "_rank", sums: dict[str, str] | None = None) -> DataFrame:
     """Global 0-based rank of each row in `order`, without sending all rows through one task.
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from legajo.llm.common import cut, keyed, restored, tune
 from legajo.llm.text import SPACE, Words, signed, slices, spans, unsigned
 
-_ROWS = "h long, g long, key long, pos long, flag int"
+_ROWS = "h long, g int, key long, pos int, flag int"  # h and g: 96 bits of the hash
 _SENT, _KNOWN, _DIRECT = 0, 1, 2
 
 
@@ -102,8 +102,12 @@ def _emit(size: int, before: int | None, length: int):
                 again = np.flatnonzero(many)
                 h, g, key, pos = (np.append(x, x[again]) for x in (h, g, key, pos))
                 flag = np.append(flag, np.full(len(again), _DIRECT, dtype=np.int32))
+            h[flag == _DIRECT] = 0
+            g[flag == _DIRECT] = 0
+            order = np.lexsort((pos, key))  # neighbours share most bytes of key and place: the shuffle compresses them
+            h, g, key, pos, flag = (x[order] for x in (h, g, key, pos, flag))
             yield pa.record_batch(
-                [pa.array(signed(h)), pa.array(signed(g)), pa.array(key), pa.array(pos), pa.array(flag)],
+                [pa.array(signed(h)), pa.array(g.astype(np.uint32).view(np.int32)), pa.array(key), pa.array(pos, pa.int32()), pa.array(flag)],
                 names=["h", "g", "key", "pos", "flag"],
             )
 
@@ -133,7 +137,7 @@ def _meet(last: bool):
                 else:
                     if held is not None and same[0]:
                         keys.append(np.array([held[0]]))
-                        places.append(np.array([held[1]]))
+                        places.append(np.array([held[1]], dtype=np.int32))
                     out = same | np.append(same[1:], False)
                     wait = not out[-1] and flag[-1] == _SENT
                     held = (key[-1], pos[-1]) if wait else None
@@ -161,7 +165,7 @@ def repeated_windows(texts: DataFrame, length: int = 20, base: int = 10) -> Data
         last = size == length
         dealt = F.when(F.col("flag") == _DIRECT, F.xxhash64("key", "pos")).otherwise(F.col("h"))
         met = rows.repartition(dealt).sortWithinPartitions("h", "g", "key", "pos")
-        found = cut(met.mapInArrow(_meet(last), "key long, pos long"))
+        found = cut(met.mapInArrow(_meet(last), "key long, pos int"))
         if last or found.isEmpty():
             return found
         size, before = min(2 * size, length), size
