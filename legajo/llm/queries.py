@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from legajo.llm.decontaminate import op1_decontaminate
 from legajo.llm.jaccard_join import op4_jaccard_join
 from legajo.llm.substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard_join, op8_substring_dedup)}
 ORACLES: dict[str, str] = {}
