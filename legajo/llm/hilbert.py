@@ -51,7 +51,7 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
 
     def rotated_left(x: Column, by: Column) -> Column:
         # by: 1 to n
-        wide = F.expr("shiftleft(1, 0)") * x * F.pow(F.lit(2), by).cast("int")
+        wide = x * F.pow(F.lit(2), by).cast("int")
         return wide.bitwiseAND(F.lit(full)).bitwiseOR((wide / F.lit(2**n)).cast("int"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -79,7 +79,7 @@ def quantised(df: DataFrame, dimensions: dict[str, str], bits: int) -> DataFrame
         cuts = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"_cut_{c}") for c in numbers])
         df = df.join(F.broadcast(cuts))  # one row
     for c in numbers:
-        above = F.size(F.filter(f"_cut_{c}", lambda x, c=c: x < F.col(c)))
+        above = F.expr(f"size(filter(`_cut_{c}`, x -> x < `{c}`))")
         df = df.withColumn(f"_q_{c}", F.when(F.col(c).isNull() | F.col(f"_cut_{c}").isNull(), 0).otherwise(above)).drop(f"_cut_{c}")
     for c in set(dimensions) - set(numbers):
         df = df.withColumn(f"_q_{c}", F.coalesce(F.floor(F.crc32(F.col(c)) / 2 ** (32 - bits)).cast("int"), F.lit(0)))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from legajo.llm.decontaminate import op1_decontaminate
+from legajo.llm.hilbert import op3_hilbert_sharding
 from legajo.llm.jaccard_join import op4_jaccard_join
+from legajo.llm.mixture import op10_pareto_mix
 from legajo.llm.substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard_join, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_hilbert_sharding, op4_jaccard_join, op8_substring_dedup, op10_pareto_mix)}
 ORACLES: dict[str, str] = {}
