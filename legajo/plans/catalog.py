@@ -1,6 +1,653 @@
-"""Queries over the driver tables and the DuckDB SQL with the same rows."""
+"""Queries over the driver tables and the DuckDB SQL with the same rows.
+
+The tables stand in for the reference's own: documents split into lines are the
+text of PDF pages (eight lines a page), every fifth line is an outline title,
+orders are tenders and nations their categories.  Nulls and doubled marks, which
+the tables lack, are put in by the same expression on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from legajo.functions import keys, text
+from legajo.operators import relational as rel
+from legajo.operators import reports, sections
+from legajo.plans import pipelines
+from legajo.session import find_package
+from legajo.sinks import warehouse
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle.strip()
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- derived tables ----------------------------------------------------------
+
+
+def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line_text"))
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), "i", "line_text")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.expr("cast(i div 8 + 1 as int)")
+    return _raw_lines(spark, sf_dir).select("document_id", "i", page.alias("page_number"), (F.col("i") % 8 + 1).alias("line_number"), "line_text")
+
+
+def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).where("i % 5 = 0")
+    return lines.select("document_id", F.col("page_number").alias("page"), "i", F.col("line_text").alias("title"), "line_number")
+
+
+_SQL_LINES = r"""
+raw AS (SELECT CAST(doc_id AS VARCHAR) document_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) i, unnest(s) line_text
+        FROM (SELECT doc_id, string_split(text, chr(10)) s FROM documents)),
+lines AS (SELECT document_id, i, CAST(i // 8 + 1 AS INTEGER) page_number, CAST(i % 8 + 1 AS INTEGER) line_number, line_text FROM raw),
+outlines AS (SELECT document_id, page_number page, i, line_text title, line_number FROM lines WHERE i % 5 = 0)
+"""
+
+_SQL_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+
+
+def _sql_squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_SQL_SPACE}', ' ', 'g'))"
+
+
+def _sql_collapse(x: str) -> str:
+    """Without back-references: characters that repeat the one before are filtered out."""
+    s = f"string_split({x}, '')"
+    keep = r"NOT (i > 1 AND ch = " + s + r"[i - 1] AND regexp_matches(ch, '^[\p{L}\p{N}_]$'))"
+    return f"array_to_string(list_filter({s}, lambda ch, i: {keep}), '')"
+
+
+def _sql_canonical(x: str) -> str:
+    halved = f"replace(replace(replace({_sql_collapse(x)}, '--', '-'), '::', ':'), '..', '.')"
+    return _sql_squeeze(f"regexp_replace({halved}, ',+', ',', 'g')")
+
+
+#: The texts with doubled marks and nulls.
+_NOISE = "  ----,,, a::b..c aaBB²² __;;°°// x"
+_SQL_NOISY = f"(SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text || '{_NOISE}' END t FROM documents)"
+
+
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.when(F.col("doc_id") % 17 != 0, F.concat("text", F.lit(_NOISE))).alias("t"))
+
+
+# --- sections ----------------------------------------------------------------
+
+_SQL_SECTIONS = r"""
+numbered AS (SELECT *, CASE WHEN (CAST(document_id AS BIGINT) + i) % 7 = 0 THEN NULL ELSE line_number END n FROM outlines),
+bounds AS (SELECT document_id, i, title, page, n line_start,
+    coalesce(lead(page) OVER w, page + 1) end_page, lead(n) OVER w line_end
+  FROM numbered WINDOW w AS (PARTITION BY document_id ORDER BY page, n NULLS LAST, i)),
+assembled AS (SELECT b.document_id, b.i, min(b.title) title, min(b.page) page, min(b.line_start) line_start, min(b.line_end) line_end,
+    coalesce(string_agg(l.line_text, chr(10) ORDER BY l.page_number, l.line_number), '') "content", CAST(count(l.line_text) AS INTEGER) content_length
+  FROM bounds b LEFT JOIN lines l ON l.document_id = b.document_id AND l.page_number BETWEEN b.page AND b.end_page
+    AND NOT (l.page_number = b.page AND coalesce(l.line_number < b.line_start, false))
+    AND NOT (l.page_number = b.end_page AND coalesce(l.line_number >= b.line_end, false))
+  GROUP BY b.document_id, b.i)
+"""
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _outlines(spark, sf_dir)
+    gap = (F.col("document_id").cast("long") + F.col("i")) % 7 == 0
+    return out.withColumn("line_number", F.when(~gap, F.col("line_number"))).withColumn("ord", F.struct("document_id", "i"))
+
+
+@query(f"WITH {_SQL_LINES}, {_SQL_SECTIONS} SELECT * FROM assembled")
+def sections_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.assemble_sections(_numbered(spark, sf_dir), _lines(spark, sf_dir)).drop("ord")
+
+
+@query(f"WITH {_SQL_LINES}, {_SQL_SECTIONS} SELECT * FROM assembled")
+def sections_assemble_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections joined on (document, page)."""
+    return sections.assemble_sections(_numbered(spark, sf_dir), _lines(spark, sf_dir), by_page=True).drop("ord")
+
+
+@query(f"WITH {_SQL_LINES} SELECT document_id, i, page_number, line_number, line_text FROM lines")
+def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir)
+
+
+_PAIR = text.SPLIT_HEADINGS[0]
+
+
+@query(
+    rf"""WITH {_SQL_LINES},
+    page AS (SELECT document_id, page_number, line_number - 1 idx, CASE WHEN i % 8 = 2 THEN '{_PAIR[0]}' WHEN i % 8 = 3 THEN '{_PAIR[1]}' WHEN i % 8 = 5 THEN '  ' ELSE line_text END line_text FROM lines),
+    clean AS (SELECT document_id, page_number, idx, {_sql_canonical("line_text")} t FROM page),
+    near AS (SELECT *, lag(t) OVER w b, lead(t) OVER w a FROM clean WINDOW w AS (PARTITION BY document_id, page_number ORDER BY idx)),
+    flagged AS (SELECT *, CAST(b = '{_PAIR[0]}' AND t = '{_PAIR[1]}' AS INTEGER) s FROM near),
+    summed AS (SELECT *, sum(coalesce(s, 0)) OVER (PARTITION BY document_id, page_number ORDER BY idx) k FROM flagged)
+    SELECT document_id, page_number, CAST(idx + 1 - k AS INTEGER) line_number,
+      CASE WHEN t = '{_PAIR[0]}' AND a = '{_PAIR[1]}' THEN t || ' ' || a ELSE t END line_text FROM summed WHERE coalesce(s, 0) = 0 AND t <> ''"""
+)
+def lines_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spot = F.col("i") % 8
+    line = F.when(spot == 2, _PAIR[0]).when(spot == 3, _PAIR[1]).when(spot == 5, "  ").otherwise(F.col("line_text"))
+    raw = _lines(spark, sf_dir).select("document_id", "page_number", (F.col("line_number") - 1).alias("idx"), line.alias("line_text"))
+    return sections.number_lines(raw)
+
+
+_SQL_MATCH = rf"""
+marked AS (SELECT document_id, page, i, CASE WHEN i % 3 = 0 THEN title || 'x' ELSE title END title FROM outlines),
+matched AS (SELECT o.document_id, o.page, o.i, o.title, l.line_number FROM marked o LEFT JOIN lines l
+  ON o.document_id = l.document_id AND o.page = l.page_number AND {_sql_canonical("o.title")} IS NOT DISTINCT FROM {_sql_canonical("l.line_text")})
+"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.when(F.col("i") % 3 == 0, F.concat("title", F.lit("x"))).otherwise(F.col("title"))
+    outlines = _outlines(spark, sf_dir).select("document_id", "page", "i", title.alias("title"))
+    return sections.match_titles(outlines, _lines(spark, sf_dir))
+
+
+@query(f"WITH {_SQL_LINES}, {_SQL_MATCH} SELECT * FROM matched")
+def outline_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir)
+
+
+@query(f"WITH {_SQL_LINES}, {_SQL_MATCH} SELECT count(*) total, count(line_number) matched, round(100.0 * count(line_number) / count(*), 2) match_rate FROM matched")
+def outline_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.match_rate(_matched(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SQL_LINES}, f AS (SELECT o.document_id, o.i, o.title, min(l.i) + 1 matched_line FROM outlines o
+      LEFT JOIN lines l ON l.document_id = o.document_id AND l.line_text = o.title GROUP BY ALL)
+    SELECT document_id, i, title, CAST((matched_line - 1) // 8 + 1 AS INTEGER) matched_page, CAST(matched_line AS INTEGER) matched_line FROM f"""
+)
+def outline_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).withColumn("position", F.col("i") + 1).drop("i")
+    return sections.first_equal_line(_outlines(spark, sf_dir).select("document_id", "i", "title"), lines, ["document_id", "i"])
+
+
+def _sql_blanking(x: str) -> str:
+    return f"trim(regexp_replace({_sql_collapse(x)}, '--|::|\\.\\.|,+|{_SQL_SPACE}', ' ', 'g'))"
+
+
+@query(
+    rf"""WITH {_SQL_LINES},
+    half AS (SELECT document_id, i, page, CASE WHEN i % 2 = 0 THEN left(title, 12) ELSE replace(title, 'e', 'E') END title FROM outlines),
+    t AS (SELECT *, {_sql_blanking("lower(title)")} k FROM half), l AS (SELECT *, {_sql_blanking("lower(line_text)")} c FROM lines)
+    SELECT t.document_id, t.i, min(t.page) page, min(t.title) title, min(l.line_number) linea,
+      CASE WHEN min(l.line_number) IS NOT NULL THEN min(t.page) || '-' || min(l.line_number) END pagina_linea
+    FROM t LEFT JOIN l ON l.document_id = t.document_id AND l.page_number = t.page AND contains(l.c, t.k) GROUP BY t.document_id, t.i"""
+)
+def outline_contains_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.when(F.col("i") % 2 == 0, F.left("title", F.lit(12))).otherwise(F.replace("title", F.lit("e"), F.lit("E")))
+    titles = _outlines(spark, sf_dir).select("document_id", "i", "page", title.alias("title"))
+    return sections.first_containing_line(titles, _lines(spark, sf_dir), ["document_id", "i"])
+
+
+# --- text --------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_sql_canonical('t')} AS clean FROM {_SQL_NOISY}")
+def clean_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir).select("doc_id", text.clean_canonical("t").alias("clean"))
+
+
+@query(f"SELECT doc_id, {_sql_squeeze(_sql_collapse('t'))} AS clean FROM {_SQL_NOISY}")
+def clean_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir).select("doc_id", text.clean_bulk("t").alias("clean"))
+
+
+@query(f"SELECT doc_id, coalesce({_sql_squeeze('t')}, '') AS clean FROM {_SQL_NOISY}")
+def clean_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir).select("doc_id", text.clean_outline("t").alias("clean"))
+
+
+@query(f"SELECT doc_id, {_sql_blanking('t')} AS clean FROM {_SQL_NOISY}")
+def clean_blanking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir).select("doc_id", text.clean_blanking("t").alias("clean"))
+
+
+def _sql_halved(x: str) -> str:
+    for mark in text.DOUBLED_MARKS:
+        x = f"replace({x}, '{mark}', '{mark[0]}')"
+    return x
+
+
+@query(f"SELECT doc_id, {_sql_halved('t')} AS clean FROM {_SQL_NOISY}")
+def clean_dup_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir).select("doc_id", text.halve_marks("t").alias("clean"))
+
+
+_SQL_RUNS = "SELECT doc_id, string_split(text, chr(10)) s, list_filter(s, lambda x, i: i = 1 OR x <> s[i - 1]) k FROM documents"
+
+
+@query(f"SELECT doc_id, len(k) < len(s) AS has_duplicates FROM ({_SQL_RUNS})")
+def consecutive_dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.has_consecutive_duplicates("text").alias("has_duplicates"))
+
+
+@query(f"SELECT doc_id, array_to_string(k, chr(10)) AS cleaned_content FROM ({_SQL_RUNS})")
+def consecutive_dup_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.drop_consecutive_duplicates("text").alias("cleaned_content"))
+
+
+_SQL_CONTROL = "(SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text || chr(7) || chr(13) || chr(10) || chr(9) || chr(11) || chr(13) || chr(127) || 'z' END t FROM documents)"
+
+
+def _control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.concat("text", F.lit("\x07\r\n\t\x0b\r\x7fz"))).alias("t"))
+
+
+@query(rf"SELECT doc_id, coalesce(regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\r\n?', chr(10), 'g'), '') AS clean FROM {_SQL_CONTROL}")
+def strip_controls_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _control(spark, sf_dir).select("doc_id", text.strip_controls("t").alias("clean"))
+
+
+@query(rf"SELECT doc_id, regexp_replace(t, '[\x00-\x1f\x7f]', '', 'g') AS clean FROM {_SQL_CONTROL}")
+def strip_controls_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _control(spark, sf_dir).select("doc_id", text.strip_all_controls("t").alias("clean"))
+
+
+@query("SELECT doc_id, replace(text || chr(0), chr(0), '') AS clean FROM documents")
+def strip_nul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.strip_nul(F.concat("text", F.lit("\x00"))).alias("clean"))
+
+
+@query()
+def deep_clean_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL has no NFKD; a test compares this with Python."""
+    find_package(spark)
+    return _table(spark, sf_dir, "documents").select("doc_id", text.deep_clean("text").alias("clean"))
+
+
+_SQL_TITLES = "(SELECT n_name titulo FROM nation UNION ALL SELECT p_name FROM part UNION ALL SELECT upper(p_type) FROM part)"
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    frames = [_table(spark, sf_dir, "nation").select(F.col("n_name").alias("titulo")), part.select(F.col("p_name").alias("titulo")), part.select(F.upper("p_type").alias("titulo"))]
+    return rel.union_all(frames)
+
+
+_SQL_UPPER = "regexp_matches(titulo, '[A-Z]') AND NOT regexp_matches(titulo, '[a-z]')"
+
+
+@query(f"SELECT titulo, count(*) AS n FROM {_SQL_TITLES} WHERE {_SQL_UPPER} GROUP BY titulo")
+def titles_uppercase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.split_by(_titles(spark, sf_dir), text.is_uppercase("titulo"))[0].groupBy("titulo").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT titulo, count(*) AS n FROM {_SQL_TITLES} WHERE NOT ({_SQL_UPPER}) GROUP BY titulo")
+def titles_not_uppercase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.split_by(_titles(spark, sf_dir), text.is_uppercase("titulo"))[1].groupBy("titulo").agg(F.count("*").alias("n"))
+
+
+# --- keys, filters, sets -----------------------------------------------------
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return rel.latest_per_key(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"])
+
+
+@query("SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id) = 1")
+def latest_event_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.latest_per_key(_table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], "ts", ["event_id"])
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_suppkey) = 1")
+def keep_first_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
+    return rel.where_method(items, "l_partkey", "unique", ["l_orderkey", "l_linenumber", "l_quantity", "l_suppkey"]).drop("l_suppkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
+def filter_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.where_equal(_table(spark, sf_dir, "lineitem"), {"l_returnflag": "R", "l_linestatus": "F"}).select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+def filter_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.where_method(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "positive")
+
+
+@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NOT NULL")
+def filter_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+    return rel.where_method(rows, "segment", "non_null")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
+def filter_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.where_method(_table(spark, sf_dir, "customer"), "c_acctbal", lambda df: df.where("c_acctbal > 5000")).select("c_custkey", "c_name")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size = 7")
+def filter_typed_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.where_literal(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_size", "7")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 25")
+def filter_optional_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return rel.where_given(orders, limit=25, order=["o_orderkey"], o_orderstatus="F", o_orderpriority="1-URGENT", o_custkey=None)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995)")
+def semi_join_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1995).select(F.col("o_custkey").alias("c_custkey"))
+    return rel.present_keys(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
+
+
+@query(
+    """SELECT o_orderkey, o.k AS k, o_orderstatus AS status_x, c_name, c_mktsegment AS status_y
+    FROM (SELECT o_orderkey, o_orderstatus, nullif(o_custkey % 50, 3) k FROM orders) o
+    LEFT JOIN (SELECT nullif(c_custkey, 9) k, c_name, c_mktsegment FROM customer WHERE c_custkey < 40) c ON o.k IS NOT DISTINCT FROM c.k"""
+)
+def left_join_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.nullif(F.col("o_custkey") % 50, F.lit(3)).alias("k"))
+    right = _table(spark, sf_dir, "customer").where("c_custkey < 40").select(F.nullif("c_custkey", F.lit(9)).alias("k"), "c_name", F.col("c_mktsegment").alias("status"))
+    return rel.left_join_nullsafe(left, right, "k")
+
+
+@query(
+    """SELECT c_custkey, c.categoria AS categoria, categoria_id FROM (SELECT c_custkey, nullif(n_name, 'FRANCE') categoria FROM customer JOIN nation ON c_nationkey = n_nationkey) c
+    LEFT JOIN (SELECT CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE n_name END categoria, n_nationkey categoria_id FROM nation) d ON c.categoria IS NOT DISTINCT FROM d.categoria"""
+)
+def left_join_nullsafe_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _table(spark, sf_dir, "nation")
+    left = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.nullif("n_name", F.lit("FRANCE")).alias("categoria"))
+    dim = nation.select(F.when(F.col("n_nationkey") % 6 != 0, F.col("n_name")).alias("categoria"), F.col("n_nationkey").alias("categoria_id"))
+    return rel.left_join_nullsafe(left, dim, "categoria")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE year(o_orderdate) = 1995)")
+def anti_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1995)
+    # files of the year's orders, named as downloads are
+    files = orders.select(F.concat(keys.file_key(F.col("o_orderdate").cast("string"), F.lit(-1), "o_custkey"), F.lit(".pdf")).alias("name"))
+    have = files.select(keys.file_key_number("name").alias("c_custkey"))
+    return rel.missing_keys(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), have, "c_custkey")
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1995")
+def union_years_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y"))
+    return rel.union_distinct([orders.where(F.col("y") == y) for y in (1993, 1994, 1995)])
+
+
+@query("SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1993 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE year(o_orderdate) IN (1993, 1994)")
+def union_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second year lacks a column."""
+    orders = _table(spark, sf_dir, "orders")
+    a = orders.where(F.year("o_orderdate") == 1993).select("o_orderkey", "o_orderpriority")
+    return rel.union_all([a, None, orders.where(F.year("o_orderdate") == 1994).select("o_orderkey")])
+
+
+@query("SELECT DISTINCT p_brand, p_type FROM part ORDER BY p_brand, p_type")
+def distinct_sorted_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.distinct_sorted(_table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_brand")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS nro, o_orderkey || '.pdf' AS version,
+      CASE WHEN o_orderkey % 2 = 0 THEN substr(o_orderpriority, 3) ELSE o_orderpriority END AS categoria, strftime(o_orderdate, '%Y') AS "year",
+      strftime(o_orderdate, '%Y') || '_' || (o_custkey % 9) || '_' || o_custkey AS file_key FROM orders"""
+)
+def key_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    ocid = F.when(F.col("o_orderkey") % 5 == 0, F.lit("ocds-x")).otherwise(F.concat(F.lit("ocds-x-"), F.col("o_custkey").cast("string"), F.lit("-1")))
+    url = F.concat(F.lit("https://host/a/"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
+    details = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("x - "), F.substr("o_orderpriority", F.lit(3)))).otherwise(F.col("o_orderpriority"))
+    date = F.col("o_orderdate").cast("string")
+    return orders.select(
+        "o_orderkey",
+        keys.nro_licitacion(ocid).alias("nro"),
+        keys.version_pliego(url).alias("version"),
+        keys.categoria(details).alias("categoria"),
+        keys.year(date).alias("year"),
+        keys.file_key(date, F.col("o_custkey") % 9, "o_custkey").alias("file_key"),
+    )
+
+
+@query(
+    r"""SELECT o_orderkey, regexp_extract(s, '^(\d{4})_(-?\d+)_(\d+)', 1) AS "year", regexp_extract(s, '^(\d{4})_(-?\d+)_(\d+)', 2) AS category_id,
+      regexp_extract(s, '^(\d{4})_(-?\d+)_(\d+)', 3) AS nro_licitacion
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x_1_2' ELSE '2024_' || CASE WHEN o_orderkey % 2 = 0 THEN '-1' ELSE '41000000' END || '_' || o_custkey END s FROM orders)"""
+)
+def doc_id_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    category = F.when(F.col("o_orderkey") % 2 == 0, "-1").otherwise("41000000")
+    stem = F.when(F.col("o_orderkey") % 3 == 0, "x_1_2").otherwise(F.concat(F.lit("2024_"), category, F.lit("_"), F.col("o_custkey").cast("string")))
+    return orders.select("o_orderkey", keys.document_id_parts(stem).alias("p")).select("o_orderkey", "p.*")
+
+
+@query("SELECT o_orderkey AS tender_id, o_orderstatus AS tender_documents_document_type_details, o_totalprice AS tender_main_procurement_category FROM orders")
+def rename_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("compiledRelease/tender/id"),
+        F.col("o_orderstatus").alias("compiledRelease/tender/documents/0/documentTypeDetails"),
+        F.col("o_totalprice").alias("compiledRelease/tender/mainProcurementCategory"),
+    )
+    return rel.rename_by(raw)
+
+
+@query("SELECT c_custkey AS id, c_name AS nombre, c_acctbal FROM customer")
+def rename_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return rel.rename_from_json(rows, '{"c_custkey": "id", "c_name": "nombre", "absent": "x"}')
+
+
+@query("SELECT c_custkey, coalesce(TRY_CAST(nullif(c_mktsegment, 'BUILDING') AS INTEGER), -1) AS categoria_id, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS segment FROM customer")
+def fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segment = F.nullif("c_mktsegment", F.lit("BUILDING"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", keys.typed_category(segment).alias("categoria_id"), segment.alias("segment")).na.fill("")
+
+
+@query("SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS convocante, CAST(NULL AS VARCHAR) AS geo FROM customer")
+def add_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.with_missing(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name", "convocante", "geo"])
+
+
+# --- JSON and HTML -----------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", keys.json_field("props", "k").cast("long").alias("k"))
+
+
+def _clause_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per part: two sections; one clause lacks flags, one has an explicit null."""
+    q = F.to_json(F.struct(F.col("p_name").alias("titulo"), F.col("p_brand").alias("cuerpo"), (F.col("p_size") > 25).alias("editable")))
+    r = F.concat(F.lit('{"titulo":'), F.to_json(F.array("p_type")), F.lit(',"opcional":null}'))
+    r = F.replace(F.replace(r, F.lit("["), F.lit("")), F.lit("]"), F.lit(""))
+    head = F.concat(F.lit('{"convocatoria_slug":"s'), F.col("p_partkey").cast("string"), F.lit('","pliego_version":2,"plantilla":{"a":{"clausulas":{"c1":'))
+    body = F.concat(head, q, F.lit('}},"b":{"clausulas":{"c2":'), r, F.lit('}},"e":{}}}'))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, F.lit("{broken")).otherwise(body).alias("json"))
+
+
+@query(
+    """SELECT p_partkey, 's' || p_partkey || '_2' AS output_name, p_name AS titulo, CAST(NULL AS VARCHAR) AS pre_informacion, p_brand AS cuerpo, CAST(NULL AS VARCHAR) AS post_informacion,
+      CAST(NULL AS VARCHAR) AS ayuda, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS editable, 'false' AS no_aplica, 'false' AS opcional FROM part WHERE p_partkey % 10 <> 0
+    UNION ALL SELECT p_partkey, 's' || p_partkey || '_2', p_type, NULL, NULL, NULL, NULL, 'false', 'false', NULL FROM part WHERE p_partkey % 10 <> 0"""
+)
+def json_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.clause_table(_clause_json(spark, sf_dir))
+
+
+@query()
+def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities are decoded, which SQL can't; html_headings_raw has an oracle."""
+    find_package(spark)
+    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.element_texts("html", "h1")).alias("position", "title"))
+
+
+@query(r"SELECT page_id, trim(unnest(regexp_extract_all(html, '(?s)<h1[^>]*>([^<&]*)</h1>', 1))) AS title FROM pages")
+def html_headings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings without entities or nested tags, in the JVM."""
+    found = F.regexp_extract_all("html", F.lit(r"(?s)<h1[^>]*>([^<&]*)</h1>"), F.lit(1))
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.transform(found, F.trim)).alias("title"))
+
+
+@query(
+    r"""SELECT * FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '(?s)<h1[^>]*>([^<&]*)</h1>', 1))) AS title FROM pages)
+    WHERE regexp_full_match(title, '[A-ZÁÉÍÓÚ]([a-záéíóúA-ZÁÉÍÓÚ]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[^\p{L}\p{N}_])*') AND title <> 'About'"""
+)
+def html_heading_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_headings_raw(spark, sf_dir).where(text.is_subtitle("title", ("About",)))
+
+
+# --- reports -----------------------------------------------------------------
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source")
+def count_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.count_by(_table(spark, sf_dir, "documents"), "source")
+
+
+@query(
+    f"""WITH {_SQL_LINES}, {_SQL_SECTIONS} SELECT count(*) AS n_sections, count(DISTINCT document_id) AS n_documents,
+      count(DISTINCT CAST(document_id AS BIGINT) % 50) AS n_tenders, round(avg(content_length), 2) AS mean_length FROM assembled"""
+)
+def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sections.assemble_sections(_numbered(spark, sf_dir), _lines(spark, sf_dir))
+    return reports.section_summary(made.withColumn("nro_licitacion", F.col("document_id").cast("long") % 50))
+
+
+@query(f"WITH {_SQL_LINES} SELECT DISTINCT title AS titulo, document_id AS nombre_archivo FROM outlines")
+def titles_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = _outlines(spark, sf_dir).select(F.col("title").alias("titulo"), F.col("document_id").alias("nombre_archivo"))
+    return reports.distinct_titles(titles)
+
+
+# --- pipelines ---------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT o_custkey AS tender_id, o_orderdate, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') dt FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) IN (1993, 1994)),
+    l AS (SELECT *, year(o_orderdate) y FROM d QUALIFY row_number() OVER (PARTITION BY year(o_orderdate), tender_id ORDER BY dt DESC, 'https://h/' || o_orderkey) = 1),
+    j AS (SELECT l.*, CAST(c_custkey % 40 AS VARCHAR) nro_licitacion, nullif(n_name, 'KENYA') categoria FROM l LEFT JOIN customer ON c_custkey = tender_id LEFT JOIN nation ON n_nationkey = c_nationkey),
+    k AS (SELECT j.*, cat.categoria_id FROM j LEFT JOIN (SELECT nullif(n_name, 'KENYA') categoria, n_nationkey categoria_id FROM nation) cat ON cat.categoria IS NOT DISTINCT FROM j.categoria)
+    SELECT nro_licitacion, tender_id, CAST(o_orderkey AS VARCHAR) AS version_pliego, categoria, categoria_id, strftime(o_orderdate, '%Y') AS "year"
+    FROM k QUALIFY row_number() OVER (PARTITION BY nro_licitacion ORDER BY y, dt, tender_id) = 1"""
+)
+def pipeline_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of two years, joined, derived, united and made unique."""
+    orders, nation = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "nation")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = orders.select(
+        F.col("o_custkey").alias("tender_id"),
+        F.col("o_orderstatus").alias("tender_documents_document_type_details"),
+        day.alias("tender_documents_date_published"),
+        day.alias("date"),
+        F.concat(F.lit("https://h/"), F.col("o_orderkey").cast("string")).alias("tender_documents_url"),
+        F.year("o_orderdate").alias("_y"),
+    )
+    customer = _table(spark, sf_dir, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    records = customer.select(
+        F.col("c_custkey").alias("tender_id"),
+        F.concat(F.lit("ocds-03ad3f-"), (F.col("c_custkey") % 40).cast("string")).alias("open_contracting_id"),
+        F.concat(F.lit("1 - "), F.nullif("n_name", F.lit("KENYA"))).alias("tender_main_procurement_category_details"),
+    )
+    categories = nation.select(F.nullif("n_name", F.lit("KENYA")).alias("categoria"), F.col("n_nationkey").alias("categoria_id"))
+    kinds = {"tender_documents_document_type_details": "F"}
+    years = [pipelines.tender_metadata(raw.where(F.col("_y") == y).drop("_y"), records, categories, kinds) for y in (1993, 1994)]
+    return pipelines.merge_years(years).select("nro_licitacion", "tender_id", "version_pliego", "categoria", "categoria_id", "year")
+
+
+_SQL_PIPELINE = rf"""
+numbered AS (SELECT o.document_id, o.i, o.title, o.page, l.line_number n FROM outlines o LEFT JOIN lines l
+  ON o.document_id = l.document_id AND o.page = l.page_number AND {_sql_canonical("o.title")} = {_sql_canonical("l.line_text")}),
+bounds AS (SELECT *, coalesce(lead(page) OVER w, page + 1) end_page, lead(n) OVER w line_end
+  FROM numbered WINDOW w AS (PARTITION BY document_id ORDER BY page, n NULLS LAST, i)),
+assembled AS (SELECT b.document_id, b.i, b.n line_start, min(b.title) title, min(b.page) page, min(b.line_end) line_end,
+    coalesce(string_agg(l.line_text, chr(10) ORDER BY l.page_number, l.line_number), '') c, CAST(count(l.line_text) AS INTEGER) content_length
+  FROM bounds b LEFT JOIN lines l ON l.document_id = b.document_id AND l.page_number BETWEEN b.page AND b.end_page
+    AND NOT (l.page_number = b.page AND coalesce(l.line_number < b.n, false))
+    AND NOT (l.page_number = b.end_page AND coalesce(l.line_number >= b.line_end, false))
+  GROUP BY b.document_id, b.i, b.n),
+split AS (SELECT *, string_split({_sql_halved("c")}, chr(10)) s FROM assembled),
+cleaned AS (SELECT *, list_filter(s, lambda x, k: k = 1 OR x <> s[k - 1]) u FROM split)
+"""
+
+
+def _pipeline_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    outlines = _outlines(spark, sf_dir).drop("line_number").withColumn("ord", F.struct("document_id", "i"))
+    return pipelines.sections(outlines, _lines(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SQL_LINES}, {_SQL_PIPELINE} SELECT document_id, i, title, page, line_start, line_end, c AS "content", content_length, len(u) < len(s) AS has_duplicates,
+    array_to_string(u, chr(10)) AS cleaned_content FROM cleaned WHERE content_length > 0"""
+)
+def pipeline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles matched to lines, sections assembled and cleaned."""
+    return _pipeline_sections(spark, sf_dir)[0].drop("ord")
+
+
+@query(f"WITH {_SQL_LINES}, {_SQL_PIPELINE} SELECT document_id, i, line_start, content_length FROM cleaned WHERE len(u) < len(s)")
+def pipeline_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pipeline_sections(spark, sf_dir)[1].select("document_id", "i", "line_start", "content_length")
+
+
+@query(
+    f"""WITH {_SQL_LINES}, {_SQL_PIPELINE} SELECT document_id, title, array_to_string(u, chr(10)) AS "content", CAST(page AS VARCHAR) AS page,
+    coalesce(CAST(line_start AS VARCHAR), '') AS line_start, coalesce(CAST(line_end AS VARCHAR), '') AS line_end, CAST(content_length AS VARCHAR) AS content_length FROM cleaned WHERE content_length > 0"""
+)
+def warehouse_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the warehouse's section table."""
+    return warehouse.sections_table(_pipeline_sections(spark, sf_dir)[0])
+
+
+@query(f"WITH {_SQL_LINES} SELECT title AS titulo, min(lpad(document_id, 12, '0')) AS nombre_archivo FROM outlines GROUP BY title")
+def pipeline_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first file of each title."""
+    titles = _outlines(spark, sf_dir).select(F.col("title").alias("titulo"), F.lpad("document_id", 12, "0").alias("nombre_archivo"))
+    return pipelines.unique_titles(titles, ["nombre_archivo"])[0]
+
+
+@query(
+    """SELECT CAST(o_custkey AS VARCHAR) AS nro_licitacion, nullif(o_orderpriority, '5-LOW') AS category_id, strftime(o_orderdate, '%Y') AS "year" FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1"""
+)
+def warehouse_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("nro_licitacion"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("category_id"), F.date_format("o_orderdate", "yyyy").alias("year")
+    )
+    return warehouse.tenders_table(rows, ["o_orderkey"])
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS category_id, n_name AS descripcion FROM nation")
+def warehouse_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warehouse.categories_table(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("categoria_id"), F.col("n_name").alias("categoria")))
+
+
+@query(
+    """SELECT o_orderkey, o_totalprice, CASE WHEN o_totalprice > 150000 THEN 'price' ELSE '' END || CASE WHEN o_totalprice > 150000 AND o_orderstatus = 'O' THEN ',' ELSE '' END
+      || CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE '' END AS failed_checks FROM orders WHERE o_totalprice > 150000 OR o_orderstatus = 'O'"""
+)
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a load would reject, with the checks they fail."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    checks = {"price": F.col("o_totalprice") <= 150000, "open": F.col("o_orderstatus") != "O"}
+    return warehouse.split_bad(orders, checks)[1].drop("o_orderstatus")
