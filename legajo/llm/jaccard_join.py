@@ -8,15 +8,21 @@ of differing words bounds the size of the symmetric difference from below.
 For Jaccard >= num/den and |A| <= |B| the symmetric difference is at most
 (den - num) / num * |A|.  Sets are put in size bands [lo, hi) such that a set's
 partners lie in its own band or the next.  In band k that bound is d_k, so of
-P_k = d_k + 1 + slack words at least 1 + slack are equal in any linked pair:
-pairs meet on (band, word index, word value).  Words that no shingle fell into
-say nothing; a set with at most `slack` such words sends its other words only.
+P_k = d_k + 1 + blank + spare words at least 1 + blank + spare are equal in any
+linked pair: pairs meet on (band, word index, word value).  Words that no
+shingle fell into say nothing; a set with at most `blank` such words sends its
+other words only.
 
 No group of equal words is expanded into pairs.  Each group links its members
 to its least member; after these pairs are verified on the texts, links make
 components.  What is left are pairs of one group that lie in different
-components; they are compared as well, so no link between different texts that
-could join two components is lost.  Equal sets are one node from the start.
+components.  They meet on the rarer groups only: with all groups in one order,
+by size, each set leaves out its last `spare` ones, and a linked pair still
+shares one of the others (prefix filtering), so what a passage common to very
+many documents makes equal falls away.  Of a pair that meets, sizes and the
+number of shared words must allow a link before its texts are compared.  No
+link between different texts that could join two components is lost.  Equal
+sets are one node from the start.
 
 Defined results: a null, blank or empty text has an empty set and is its own
 component; texts of fewer words than a shingle have one shingle, the whole
@@ -28,11 +34,12 @@ least doc_id (null sorts last).  Set elements and whole sets are told apart by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.llm.common import cut, keyed, restored, tune
@@ -40,21 +47,33 @@ from legajo.llm.components import components
 from legajo.llm.text import SPACE, Words, mix64, signed, slices, window_hash
 
 _META, _WORD, _STAR = 0, 1, 2
+_SPARE = 63  # words left out at most (six bits)
 _CROWD = 5000  # pairs of one centre that are verified in one group
 
 
+@dataclass(frozen=True)
+class Bands:
+    """Size bands and the sketches of each: lower ends, words, and how many words may be blank or left out."""
+
+    low: tuple[int, ...]
+    words: tuple[int, ...]
+    blank: tuple[int, ...]
+    spare: tuple[int, ...]
+
+
 @cache
-def bands(num: int, den: int, most: int) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
-    """Lower ends of the size bands up to size `most`; words and slack of each band's sketch."""
+def bands(num: int, den: int, most: int) -> Bands:
+    """The bands of sizes up to `most`."""
     low = [1]
     while low[-1] <= most or len(low) < 3:
         low.append(max(low[-1] + 1, (low[-1] - 1) * den // num + 1))
-    words, slack = [], []
+    words, blank, spare = [], [], []
     for hi in low[1:] + [low[-1] * den // num + 2]:
         d = (hi - 1) * (den - num) // num
-        slack.append(1 + d // 40 if d else 0)
-        words.append(d + 1 + slack[-1])
-    return tuple(low), tuple(words), tuple(slack)
+        blank.append(1 + d // 40 if d else 0)
+        spare.append(min(_SPARE, -(-d // 5)))
+        words.append(d + 1 + blank[-1] + spare[-1])
+    return Bands(tuple(low), tuple(words), tuple(blank), tuple(spare))
 
 
 def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
@@ -72,10 +91,12 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def _sketch(values: np.ndarray, sizes: np.ndarray, band: np.ndarray, low, n_words, slack) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sketch words of each set in its `band`, and the index of the set."""
-    per = np.asarray(n_words, dtype=np.int64)[band]
-    spare = np.asarray(slack, dtype=np.int64)[band]
+def _sketch(values: np.ndarray, sizes: np.ndarray, band: np.ndarray, by: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sketch words of each set in its `band`, and the index of the set.
+
+    A key's low bits tell what its members have in common: bit 6 whether the band is odd, bits 0 to 5 its spare.
+    """
+    per, may_blank, spare = (np.asarray(x, dtype=np.int64)[band] for x in (by.words, by.blank, by.spare))
     base = np.concatenate([[0], np.cumsum(per)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     part = (mix64(values) >> np.uint64(33)).astype(np.int64) % per[owner]
@@ -90,10 +111,11 @@ def _sketch(values: np.ndarray, sizes: np.ndarray, band: np.ndarray, low, n_word
     filled[place[new] if len(place) else []] = True
     owner = np.repeat(np.arange(len(sizes)), per)
     blank = np.bincount(owner[~filled], minlength=len(sizes))
-    send = filled | (blank > spare)[owner]
+    send = filled | (blank > may_blank)[owner]
     index = np.arange(base[-1]) - base[:-1][owner]
     salt = mix64((band[owner].astype(np.uint64) << np.uint64(40)) + index.astype(np.uint64) + np.uint64(1))
-    return mix64(word ^ salt)[send], owner[send]
+    key = (mix64(word ^ salt) >> np.uint64(7) << np.uint64(7)) | ((band & 1) << 6 | spare).astype(np.uint64)[owner]
+    return key[send], owner[send]
 
 
 def _first_pass(n: int, num: int, den: int):
@@ -111,14 +133,14 @@ def _first_pass(n: int, num: int, den: int):
             some = some[np.unique(node[some], return_index=True)[1]]
             if not len(some):
                 continue
-            low, per, slack = bands(num, den, int(sizes.max()))
+            by = bands(num, den, int(sizes.max()))
             values = np.concatenate([sets[i] for i in some])
-            band = np.searchsorted(low, sizes[some], side="right") - 1
+            band = np.searchsorted(by.low, sizes[some], side="right") - 1
             keys, owners = [], []
             for down in (0, 1):
                 ok = band >= down
                 own = np.repeat(ok, sizes[some])
-                k, o = _sketch(values[own], sizes[some][ok], band[ok] - down, low, per, slack)
+                k, o = _sketch(values[own], sizes[some][ok], band[ok] - down, by)
                 keys.append(k)
                 owners.append(node[some[ok]][o])
             bucket, member = signed(np.concatenate(keys)), np.concatenate(owners)
@@ -213,6 +235,36 @@ def _joined(member: DataFrame, name: str, roots: DataFrame) -> DataFrame:
     return member.join(known, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
 
 
+def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share a group and may be linked."""
+    groups = stars.groupBy("bucket").agg(F.count("*").alias("size"), F.min("a").alias("node"))
+    member = stars.select("bucket", F.col("b").alias("node")).union(groups.select("bucket", "node")).distinct()
+    member = member.join(groups.select("bucket", "size"), "bucket")
+    # each set leaves out the last `spare` of its groups, the largest
+    last = Window.partitionBy("node", F.expr("bucket & 64")).orderBy(F.col("size").desc(), "bucket")
+    member = member.withColumn("k", F.row_number().over(last)).where(F.col("k") > F.expr("bucket & 63")).select("bucket", "node")
+    member = cut(_joined(member, "node", roots))
+    mixed = member.groupBy("bucket").agg(F.min("node_root").alias("r"), F.max("node_root").alias("s")).where("r <> s").select("bucket")
+    sizes = meta.groupBy("node").agg(F.first("n").alias("n"))
+    side = cut(member.join(mixed, "bucket").join(sizes, "node"))
+    one = side.select("bucket", F.col("node").alias("a"), F.col("node_root").alias("ra"), F.col("n").alias("na"))
+    two = side.select("bucket", F.col("node").alias("b"), F.col("node_root").alias("rb"), F.col("n").alias("nb"))
+    near = (F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num)
+    met = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
+    # count shared words in the band of the smaller set alone
+    by = bands(num, den, meta.agg(F.max("n")).first()[0] or 1)
+    band = _band(F.least("na", "nb"), by)
+    met = met.where(F.expr("shiftright(bucket & 64, 6)") == band % 2)
+    shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    differ = F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num))
+    least = F.get(F.array(*map(F.lit, (w - b - s for w, b, s in zip(by.words, by.blank, by.spare, strict=True)))), band) - differ
+    return shared.where(F.col("shared") >= least).select("a", "b")
+
+
+def _band(size: Column, by: Bands) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, by.low)), lambda x: x <= size)) - 1
+
+
 def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: classes of documents that links of Jaccard >= num/den connect."""
     tune(docs.sparkSession)
@@ -230,17 +282,9 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     links = cut(_links(tested, bodies, n, num, den))
     roots = cut(components(links))
 
-    # pairs of one group that are still apart, other than those compared
-    apart = _joined(_joined(stars, "a", roots), "b", roots)
-    outer = cut(apart.where("a_root <> b_root").select("bucket", F.col("b").alias("x"), F.col("b_root").alias("x_root")).distinct())
-    if not outer.isEmpty():
-        open_ = outer.select("bucket").distinct()
-        inner = apart.join(open_, "bucket").select("bucket", F.col("b").alias("y"), F.col("b_root").alias("y_root"))
-        left = outer.join(inner, "bucket").where("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        sizes = meta.groupBy("node").agg(F.first("n").alias("n"))
-        left = left.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        left = left.where((F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num)).select("a", "b")
-        links = links.union(cut(_links(cut(left), bodies, n, num, den)))
+    left = cut(_still_apart(stars, roots, meta, num, den).join(tested, ["a", "b"], "left_anti"))
+    if not left.isEmpty():
+        links = links.union(cut(_links(left, bodies, n, num, den)))
         roots = cut(components(links))
 
     named = meta.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
