@@ -85,6 +85,31 @@ def _up_to_previous():
     return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _bloom(keys: DataFrame, bits: int) -> DataFrame:
+    """A Bloom filter of 2^bits bits over `key`: at most 2^(bits - 6) rows, however many keys there are."""
+    word, bit = _spot(bits)
+    return cut(keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+
+
+def _spot(bits: int) -> tuple[Column, Column]:
+    spot = F.xxhash64("key").bitwiseAND(F.lit((1 << bits) - 1))
+    return F.shiftright(spot, 6), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))")
+
+
+def _tested(df: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    word, bit = _spot(bits)
+    out = df.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    return out.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+
+
+def narrowed(df: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows of df whose `key` may be among keys, by a Bloom filter of fixed size: less to shuffle.
+
+    With more keys than bits it lets more rows through.
+    """
+    return _tested(df, _bloom(keys, bits), bits).where("_maybe").select(*df.columns)
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(key, text) with one row per document, and where needed (key, doc_id, copies).
 
@@ -104,7 +129,26 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     hot = mark.dropDuplicates(["doc_id", "_t", "_s"])
     same = [hot.doc_id.eqNullSafe(keys.doc_id), hot["_t"] == keys["_t"], hot["_s"] == keys["_s"]]
     texts = hot.join(keys, same).select("key", "text")
-    return texts, keys.select("key", "doc_id", "copies")
+    return texts, keys.select("key", "doc_id", "copies", "_t", "_s")
+
+
+def with_key(docs: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """docs with the `key` that keyed() gave to each row."""
+    if keys is None:
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    marks = docs.withColumn("_t", F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn("_s", F.coalesce(F.length("text"), F.lit(-1)))
+    own = keys.select("key", F.col("doc_id").alias("_id"), F.col("_t").alias("_t2"), F.col("_s").alias("_s2"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t2")) & (F.col("_s") == F.col("_s2"))
+    return marks.join(own, same).drop("_t", "_s", "_t2", "_s2", "_id")
+
+
+def without(docs: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows of docs (with `key`) whose key is not among keys; only rows that a Bloom filter suspects are shuffled."""
+    table = cut(keys.select("key").distinct())
+    words = _bloom(table, bits)
+    clear = _tested(docs, words, bits).where("not _maybe").select(*docs.columns)
+    maybe = _tested(docs, words, bits).where("_maybe").select(*docs.columns)
+    return clear.unionByName(maybe.join(table, "key", "left_anti").select(*docs.columns))
 
 
 def restored(result: DataFrame, keys: DataFrame | None, also: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,9 @@ Terms are counted over the whole corpus first, and only postings of terms that
 are the rarest of some window are kept, so frequent words never enter the
 index.  Per slice of texts, counts are combined before the shuffle.  The test
 terms are sent to the tasks only while there are at most `most_terms` of them
-(8 bytes each); beyond it all terms are posted and a join selects.
+(8 bytes each); beyond it all terms are posted and a join selects.  Texts are
+read again only to compare candidates: a Bloom filter of fixed size drops other
+documents before that join's shuffle.
 
 Defined results: a null or blank text or item has no words and matches
 nothing.  Items that share an item_id count once; words of an item without id count as hit, but it is
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import cut, keyed, restored, tune
+from legajo.llm.common import cut, keyed, narrowed, restored, tune, with_key, without
 from legajo.llm.text import NON_WORD, Words, signed, slices, window_hash
 
 WINDOW = 13
@@ -127,7 +129,7 @@ class Index:
     """Postings of a training corpus (key, text) for the rarest terms of benchmark windows."""
 
     def __init__(self, texts: DataFrame, items: DataFrame, window: int = WINDOW, most_terms: int = MOST_TERMS):
-        spark = tune(texts.sparkSession)
+        tune(texts.sparkSession)
         named = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
         self.texts = texts
         self.windows = cut(named.mapInArrow(_item_windows(window), "item string, phrase long, terms array<long>"))
@@ -159,7 +161,7 @@ class Index:
         """(key, start, size, phrase): places whose words equal a window, word for word."""
         both = self._shifted("r1").join(self._shifted("r2"), ["key", "phrase", "size", "start"]).distinct()
         found = cut(both.groupBy("key").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("found")))
-        return found.join(self.texts, "key").select("key", "text", "found").mapInArrow(_compare, "key long, start long, size long, phrase long")
+        return narrowed(self.texts, found).join(found, "key").select("key", "text", "found").mapInArrow(_compare, "key long, start long, size long, phrase long")
 
     def proximity_matches(self, slack: int) -> DataFrame:
         """(key, start, phrase): a window's two rarest terms, in either order, at most `slack` words off their distance."""
@@ -172,10 +174,8 @@ class Index:
         return one.join(two.drop("size"), ["key", "phrase", "cell"]).where(near).select("key", "start", "phrase").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_terms: int = MOST_TERMS) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside matches), items (their ids, sorted), contaminated."""
-    tune(docs.sparkSession)
-    texts, keys = keyed(docs)
+def _contamination(texts: DataFrame, items: DataFrame, window: int, most_terms: int) -> DataFrame:
+    """(key, n_words, n_hit, items, contaminated) of (key, text)."""
     index = Index(texts, items, window, most_terms)
     matches = cut(index.phrase_matches())
     # words under at least one match: matches sorted by start, each counts what reaches beyond those before
@@ -195,8 +195,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
     out = index.sizes.join(hits, "key", "left").join(named, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     out = out.select("key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    out = out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
-    return restored(out, keys)
+    return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_terms: int = MOST_TERMS) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside matches), items (their ids, sorted), contaminated."""
+    tune(docs.sparkSession)
+    texts, keys = keyed(docs)
+    return restored(_contamination(texts, items, window, most_terms), keys)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_terms: int = MOST_TERMS) -> DataFrame:
+    """The rows of docs that aren't contaminated."""
+    tune(docs.sparkSession)
+    texts, keys = keyed(docs)
+    bad = _contamination(texts, items, window, most_terms).where("contaminated").select("key")
+    return without(with_key(docs, keys), bad).select(*docs.columns)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

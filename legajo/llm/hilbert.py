@@ -111,13 +111,16 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, lang, source, curve, shard, slot of each row of documents."""
+def shard_documents(docs: DataFrame, shards: int = 16, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, lang, source, curve, shard, slot of each row of documents.
+
+    With carry all other columns of docs (the text) go along through the sort.
+    """
     tune(docs.sparkSession)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")).alias("text_crc32")
-    facts = cut(docs.select("doc_id", size, crc, "lang", "source"))
-    return hilbert_shards(facts, shards, DIMENSIONS, ["doc_id", "text_crc32", "size"])
+    facts = docs.select("doc_id", size, crc, "lang", "source", *([F.struct(*docs.columns).alias("document")] if carry else []))
+    return hilbert_shards(facts if carry else cut(facts), shards, DIMENSIONS, ["doc_id", "text_crc32", "size"])
 
 
 def op3_hilbert_sharding(spark, sf_dir: str) -> DataFrame:

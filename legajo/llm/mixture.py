@@ -14,14 +14,14 @@ so a source with a third of all rows is spread over tasks.  u comes from a
 digest of the doc_id and a seed: reruns agree.
 
 Defined results: a null or blank text has size 0 and takes 0 words; a null
-source is a source of its own and comes last; repeated rows are documents of
-their own with the same u; an empty table gives no rows; weights that are null
+source is a source of its own and comes last; rows alike in doc_id, source and
+size are taken together; an empty table gives no rows; weights that are null
 or not positive count as 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.llm.common import cut, tune
@@ -55,42 +55,81 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     return by.select("source", "sid", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, seed: str = SEED, weight_col: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words) and copies of each row of documents."""
-    tune(docs.sparkSession)
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")
-    own = F.col(weight_col) if weight_col else F.lit(1.0)
-    own = F.when(own > 0, own).otherwise(1.0).cast("double").alias("weight")
-    sized = cut(docs.select("doc_id", "source", size, own))
-    plan = cut(targets(sized.select("source", "size"), weights, total, most))
-    rows = sized.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(ratio)).withColumn("share", ratio - F.floor(ratio))
-    rows = rows.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+def sized(docs: DataFrame, seed: str, weight_col: str | None = None) -> DataFrame:
+    """docs with _size (words), _id, _u and _weight."""
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
-    odds = F.when(F.col("share") > 0, F.col("share") / (1 - F.col("share"))).otherwise(1.0) * F.col("weight")
-    rows = rows.withColumn("pareto", (u / (1 - u)) / odds)
+    out = docs.withColumn("_size", size).withColumn("_weight", F.when(own > 0, own).otherwise(1.0))
+    return out.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_u", u)
+
+
+def _pareto() -> Column:
+    odds = F.when(F.col("share") > 0, F.col("share") / (1 - F.col("share"))).otherwise(1.0) * F.col("_weight")
+    return (F.col("_u") / (1 - F.col("_u"))) / odds
+
+
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
+    """One row per source: its target, whole copies, the last document of the sample, and the one that fills it up.
+
+    rows: source, _size, _id, _u, _weight.  Rows alike in all of these are taken together.
+    """
+    units = cut(rows.where("_size > 0").groupBy("source", "_size", "_id", "_u", "_weight").agg(F.count("*").alias("n")))
+    sizes = units.select("source", (F.col("_size") * F.col("n")).alias("size"))
+    every = sizes.union(rows.select("source").distinct().select("source", F.lit(0).cast("long")))
+    by = targets(every, weights, total, most)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    by = by.withColumn("whole", F.floor(ratio)).withColumn("share", ratio - F.floor(ratio))
+    by = cut(by.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    own = by.select(F.col("source").alias("_source"), "sid", "share", "rest")
+    ranked = units.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    ranked = ranked.select("sid", "rest", _pareto().alias("pareto"), "_id", "_size", (F.col("_size") * F.col("n")).alias("size"))
     # running sum of sizes in the order of (source, ratio)
-    order = ["sid", "pareto", F.col("doc_id").asc_nulls_last(), "size"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["sid", "pareto", "_id", "_size"]
+    placed = ranked.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut(placed.withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftright("place", 33))
     inside = Window.partitionBy("part", "sid").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     parts = placed.groupBy("sid", "part").agg(F.sum("size").alias("part_size"))
     earlier = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("sid", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("offset"))
     summed = placed.withColumn("run", F.sum("size").over(inside)).join(parts, ["sid", "part"])
-    summed = cut(summed.withColumn("run", F.col("run") + F.col("offset")).withColumn("picked", F.col("run") <= F.col("rest")).drop("offset", "part"))
+    summed = cut(summed.withColumn("run", F.col("run") + F.col("offset")).drop("offset", "part"))
+    mark = F.struct("pareto", "_id", "_size")
+    last = cut(summed.where("run <= rest").groupBy("sid").agg(F.max(mark).alias("last"), F.max("run").alias("had")))
     # the one document more that comes nearest to what is missing
-    had = summed.groupBy("sid").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("picked"), F.col("run"))), F.lit(0))).alias("gap"))
-    left = summed.where("not picked and size > 0").join(had, "sid").withColumn("off", F.abs(F.col("gap") - F.col("size")))
-    best = left.where("off < gap").groupBy("sid").agg(F.min(F.struct("off", "place")).alias("best")).select("sid", F.col("best.place").alias("more"))
-    out = summed.join(best, "sid", "left")
-    copies = F.col("whole") + F.when(F.col("picked") | F.coalesce(F.col("place") == F.col("more"), F.lit(False)), 1).otherwise(0)
-    # a document that no words stand for is not taken
-    out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int"))
-    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken, "copies")
+    left = summed.where("run > rest").join(last, "sid", "left").withColumn("gap", F.col("rest") - F.coalesce("had", F.lit(0)))
+    left = left.withColumn("off", F.abs(F.col("gap") - F.col("size"))).where("off < gap")
+    more = left.groupBy("sid").agg(F.min(F.struct("off", mark.alias("mark"))).alias("m")).select("sid", F.col("m.mark").alias("more"))
+    out = by.join(last.select("sid", "last"), "sid", "left").join(more, "sid", "left")
+    return cut(out.select(F.col("source").alias("_source"), "source_size", "target", "whole", "share", "last", "more"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, seed: str = SEED, weight_col: str | None = None, lean: bool = True) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words) and copies of each row of docs.
+
+    With lean=False all columns of docs, and copies.  The plan of the sources
+    decides on each row, so rows with their texts aren't shuffled.
+    """
+    tune(docs.sparkSession)
+    rows = sized(docs, seed, weight_col)
+    facts = cut(rows.select("doc_id", "source", "_size", "_id", "_u", "_weight"))
+    by = plan(facts, weights, total, most)
+    out = (facts if lean else rows).join(by, F.col("source").eqNullSafe(F.col("_source")))
+    mark = F.struct(_pareto().alias("pareto"), "_id", "_size")
+    picked = F.coalesce(mark <= F.col("last"), F.lit(False)) | F.coalesce(mark == F.col("more"), F.lit(False))
+    copies = F.when(F.col("_size") > 0, F.col("whole") + F.when(picked, 1).otherwise(0)).otherwise(0).cast("int")
+    out = out.withColumn("copies", copies)
+    if not lean:
+        return out.select(*docs.columns, "copies")
+    taken = (F.col("copies") * F.col("_size")).cast("long").alias("taken")
+    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", taken, "copies")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    out = mix(docs, lean=False, **options).where("copies > 0")
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def op10_pareto_mix(spark, sf_dir: str) -> DataFrame:
