@@ -19,8 +19,10 @@ components.  What is left are pairs of one group that lie in different
 components.  They meet on the rarer groups only: with all groups in one order,
 by size, each set leaves out its last `spare` ones, and a linked pair still
 shares one of the others (prefix filtering), so what a passage common to very
-many documents makes equal falls away.  Of a pair that meets, sizes and the
-number of shared words must allow a link before its texts are compared.  No
+many documents makes equal falls away.  Those that meet are compared in blocks
+by denser parity sketches, whose Hamming distance bounds the difference more
+tightly; only pairs whose distance, sizes and number of shared words allow a
+link become rows, and their texts are compared.  No
 link between different texts that could join two components is lost.  Equal
 sets are one node from the start.
 
@@ -42,12 +44,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.llm.common import cut, keyed, restored, tune
+from legajo.llm.common import cut, keyed, restored, tune, with_key
 from legajo.llm.components import components
 from legajo.llm.text import SPACE, Words, mix64, signed, slices, window_hash
 
 _META, _WORD, _STAR = 0, 1, 2
 _SPARE = 63  # words left out at most (six bits)
+_BLOCK = 2048  # members of one group that are compared in one task
 _CROWD = 5000  # pairs of one centre that are verified in one group
 
 
@@ -235,7 +238,7 @@ def _joined(member: DataFrame, name: str, roots: DataFrame) -> DataFrame:
     return member.join(known, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
 
 
-def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
+def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, bodies: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a group and may be linked."""
     groups = stars.groupBy("bucket").agg(F.count("*").alias("size"), F.min("a").alias("node"))
     member = stars.select("bucket", F.col("b").alias("node")).union(groups.select("bucket", "node")).distinct()
@@ -247,12 +250,17 @@ def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, num: int,
     mixed = member.groupBy("bucket").agg(F.min("node_root").alias("r"), F.max("node_root").alias("s")).where("r <> s").select("bucket")
     sizes = meta.groupBy("node").agg(F.first("n").alias("n"))
     side = cut(member.join(mixed, "bucket").join(sizes, "node"))
-    one = side.select("bucket", F.col("node").alias("a"), F.col("node_root").alias("ra"), F.col("n").alias("na"))
-    two = side.select("bucket", F.col("node").alias("b"), F.col("node_root").alias("rb"), F.col("n").alias("nb"))
-    near = (F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num)
-    met = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
-    # count shared words in the band of the smaller set alone
+    # the members of a group meet in blocks, with denser sketches of their sets
     by = bands(num, den, meta.agg(F.max("n")).first()[0] or 1)
+    dense = side.select("node").distinct().join(bodies, "node").mapInArrow(_dense(n, num, den, by), "node long, odd int, sketch binary")
+    crowd = side.groupBy("bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    side = side.join(crowd, "bucket").withColumn("odd", F.expr("cast(shiftright(bucket & 64, 6) as int)")).join(dense, ["node", "odd"])
+    side = side.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    side = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = side.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "node_root", "n", "sketch")
+    side = side.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    met = side.mapInArrow(_compare(num, den), "bucket long, a long, b long, na long, nb long")
+    # count shared words in the band of the smaller set alone
     band = _band(F.least("na", "nb"), by)
     met = met.where(F.expr("shiftright(bucket & 64, 6)") == band % 2)
     shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
@@ -261,14 +269,70 @@ def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, num: int,
     return shared.where(F.col("shared") >= least).select("a", "b")
 
 
+def _dense(n: int, num: int, den: int, by: Bands):
+    """Bit-parity sketches of each node, one for its own band and one for the band below: four bits to a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = Words(batch.column(batch.schema.get_field_index("text")), SPACE, lower=True)
+            node = batch.column(batch.schema.get_field_index("node")).to_pylist()
+            rows = ([], [], [])
+            for who, own in zip(node, shingle_sets(words, n), strict=True):
+                top = int(np.searchsorted(by.low, len(own), side="right")) - 1
+                for band in (top, top - 1) if top else (top,):
+                    bits = 64 * (-(-4 * by.low[min(band + 1, len(by.low) - 1)] // 64))
+                    spot = np.bincount((mix64(own ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+                    for column, x in zip(rows, (who, band % 2, np.packbits(spot.astype(bool)).tobytes()), strict=True):
+                        column.append(x)
+            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["node", "odd", "sketch"])
+
+    return run
+
+
+def _compare(num: int, den: int):
+    """Rows sorted by (bucket, i, j): pairs of different components whose dense sketches allow a link."""
+
+    def pairs(bucket, i, j, rows):
+        own, node, root, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        sketch = np.stack([np.frombuffer(r[4], dtype=np.uint64) for r in rows])
+        for x in range(len(rows) - 1):
+            rest = slice(x + 1, None)
+            small, large = np.minimum(n[x], n[rest]), np.maximum(n[x], n[rest])
+            ok = (root[rest] != root[x]) & (small * den >= large * num)
+            if i != j:
+                ok &= own[rest] != own[x]
+            at = np.flatnonzero(ok) + x + 1
+            if len(at):
+                apart = np.bitwise_count(sketch[at] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+                for y in at[apart * (den + num) <= (n[at] + n[x]) * (den - num)]:
+                    a, b = (x, y) if node[x] < node[y] else (y, x)
+                    yield bucket, int(node[a]), int(node[b]), int(n[a]), int(n[b])
+
+    def batch_of(found):
+        columns = list(zip(*found, strict=True))
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["bucket", "a", "b", "na", "nb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for *key, own, node, root, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if len(rows) > 1 and (found := list(pairs(*now, rows))):
+                        yield batch_of(found)
+                    now, rows = key, []
+                rows.append((own, node, root, n, sketch))
+        if len(rows) > 1 and (found := list(pairs(*now, rows))):
+            yield batch_of(found)
+
+    return run
+
+
 def _band(size: Column, by: Bands) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, by.low)), lambda x: x <= size)) - 1
 
 
-def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: classes of documents that links of Jaccard >= num/den connect."""
-    tune(docs.sparkSession)
-    texts, keys = keyed(docs)
+def _classes(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, n_shingles, component_id) of (key, text)."""
     rows = texts.mapInArrow(_first_pass(n, num, den), _SCHEMA)
     dealt = F.when(F.col("kind") == _WORD, F.col("b")).otherwise(F.xxhash64("kind", "b", "a", "c"))
     met = cut(rows.repartition(dealt).sortWithinPartitions("b", "a").mapInArrow(_meet, _SCHEMA))
@@ -282,7 +346,7 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     links = cut(_links(tested, bodies, n, num, den))
     roots = cut(components(links))
 
-    left = cut(_still_apart(stars, roots, meta, num, den).join(tested, ["a", "b"], "left_anti"))
+    left = cut(_still_apart(stars, roots, meta, bodies, n, num, den).join(tested, ["a", "b"], "left_anti"))
     if not left.isEmpty():
         links = links.union(cut(_links(left, bodies, n, num, den)))
         roots = cut(components(links))
@@ -292,8 +356,23 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     group = F.when(F.col("n") == 0, F.struct(F.lit(1).alias("one"), F.col("key").alias("id"))).otherwise(F.struct(F.lit(0).alias("one"), F.col("root").alias("id")))
     named = named.select("key", F.col("n").alias("n_shingles"), group.alias("g"))
     least = cut(named.groupBy("g").agg(F.min("key").alias("component_id")))
-    out = named.join(least, "g").select("key", "n_shingles", "component_id")
-    return restored(out, keys, also=("component_id",))
+    return named.join(least, "g").select("key", "n_shingles", "component_id")
+
+
+def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id: classes of documents that links of Jaccard >= num/den connect."""
+    tune(docs.sparkSession)
+    texts, keys = keyed(docs)
+    return restored(_classes(texts, n, num, den), keys, also=("component_id",))
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of docs for each class: that of the least doc_id, text hash breaking ties."""
+    tune(docs.sparkSession)
+    texts, keys = keyed(docs)
+    first = _classes(texts, n, num, den).where("key = component_id").select("key")
+    out = with_key(docs, keys).join(first, "key", "left_semi")
+    return (out if keys is None else out.dropDuplicates(["key"])).select(*docs.columns)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
