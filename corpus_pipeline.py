@@ -27,8 +27,9 @@ SHARDS = 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = language_id.identify(docs, language_id.learn(docs))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    names = ("_legajo_lang", "_legajo_score")
+    judged = language_id.identify(docs, language_id.learn(docs), names=names)
+    return judged.where((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,13 +133,15 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def with_key(docs: DataFrame, keys: DataFrame | None) -> DataFrame:
-    """docs with the `key` that keyed() gave to each row."""
+    """(key, row): the key that keyed() gave to each row, and the whole row, whatever its columns are called."""
+    row = F.struct(*docs.columns).alias("row")
+    ident = F.col("doc_id").cast("long")
     if keys is None:
-        return docs.withColumn("key", F.col("doc_id").cast("long"))
-    marks = docs.withColumn("_t", F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn("_s", F.coalesce(F.length("text"), F.lit(-1)))
-    own = keys.select("key", F.col("doc_id").alias("_id"), F.col("_t").alias("_t2"), F.col("_s").alias("_s2"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t2")) & (F.col("_s") == F.col("_s2"))
-    return marks.join(own, same).drop("_t", "_s", "_t2", "_s2", "_id")
+        return docs.select(ident.alias("key"), row)
+    marks = docs.select(ident.alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_t"), F.coalesce(F.length("text"), F.lit(-1)).alias("_s"), row)
+    own = keys.select("key", F.col("doc_id").alias("_id2"), F.col("_t").alias("_t2"), F.col("_s").alias("_s2"))
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_t") == F.col("_t2")) & (F.col("_s") == F.col("_s2"))
+    return marks.join(own, same).select("key", "row")
 
 
 def without(docs: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:

@@ -210,7 +210,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, m
     tune(docs.sparkSession)
     texts, keys = keyed(docs)
     bad = _contamination(texts, items, window, most_terms).where("contaminated").select("key")
-    return without(with_key(docs, keys), bad).select(*docs.columns)
+    return without(with_key(docs, keys), bad).select("row.*")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -372,7 +372,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     texts, keys = keyed(docs)
     first = _classes(texts, n, num, den).where("key = component_id").select("key")
     out = with_key(docs, keys).join(first, "key", "left_semi")
-    return (out if keys is None else out.dropDuplicates(["key"])).select(*docs.columns)
+    return (out if keys is None else out.dropDuplicates(["key"])).select("row.*")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from legajo.llm.common import cut, tune
 from legajo.llm.text import mix64, slices
@@ -158,18 +159,18 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
     return Profiles([tuple(r) for r in best.collect()], size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, top: int = TOP) -> DataFrame:
-    """docs with lang_pred and score."""
+def identify(docs: DataFrame, profiles: Profiles, top: int = TOP, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, in columns called `names` (which replace any of docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lang, score = profiles.judge(_texts(batch), top)
-            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
 
-    clash = [c for c in docs.columns if c in ("lang_pred", "score")]
-    docs = tune(docs.sparkSession) and docs.drop(*clash)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    tune(docs.sparkSession)
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

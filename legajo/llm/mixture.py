@@ -55,14 +55,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     return by.select("source", "sid", "source_size", target.alias("target"))
 
 
-def sized(docs: DataFrame, seed: str, weight_col: str | None = None) -> DataFrame:
-    """docs with _size (words), _id, _u and _weight."""
+def sized(docs: DataFrame, seed: str, weight_col: str | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, source, _size (words), _id, _u and _weight of each row; with carry also the whole `row`."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
-    out = docs.withColumn("_size", size).withColumn("_weight", F.when(own > 0, own).otherwise(1.0))
-    return out.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_u", u)
+    columns = {"_size": size, "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_u": u, "_weight": F.when(own > 0, own).otherwise(1.0)}
+    return docs.select("doc_id", "source", *[c.alias(n) for n, c in columns.items()], *([F.struct(*docs.columns).alias("row")] if carry else []))
 
 
 def _pareto() -> Column:
@@ -108,20 +108,19 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOT
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, seed: str = SEED, weight_col: str | None = None, lean: bool = True) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words) and copies of each row of docs.
 
-    With lean=False all columns of docs, and copies.  The plan of the sources
-    decides on each row, so rows with their texts aren't shuffled.
+    With lean=False instead each whole row as a struct, and copies.  The plan of
+    the sources decides on each row, so rows with their texts aren't shuffled.
     """
     tune(docs.sparkSession)
-    rows = sized(docs, seed, weight_col)
-    facts = cut(rows.select("doc_id", "source", "_size", "_id", "_u", "_weight"))
+    facts = cut(sized(docs, seed, weight_col))
     by = plan(facts, weights, total, most)
-    out = (facts if lean else rows).join(by, F.col("source").eqNullSafe(F.col("_source")))
+    out = (facts if lean else sized(docs, seed, weight_col, carry=True)).join(by, F.col("source").eqNullSafe(F.col("_source")))
     mark = F.struct(_pareto().alias("pareto"), "_id", "_size")
     picked = F.coalesce(mark <= F.col("last"), F.lit(False)) | F.coalesce(mark == F.col("more"), F.lit(False))
     copies = F.when(F.col("_size") > 0, F.col("whole") + F.when(picked, 1).otherwise(0)).otherwise(0).cast("int")
     out = out.withColumn("copies", copies)
     if not lean:
-        return out.select(*docs.columns, "copies")
+        return out.select("row", "copies")
     taken = (F.col("copies") * F.col("_size")).cast("long").alias("taken")
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", taken, "copies")
 
@@ -129,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     out = mix(docs, lean=False, **options).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op10_pareto_mix(spark, sf_dir: str) -> DataFrame:

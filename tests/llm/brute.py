@@ -74,3 +74,65 @@ def substrings(docs, length=20):
             seen.add(own)
         out[i] = (len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
     return out
+
+
+def quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    from collections import Counter
+
+    text = text or ""
+    w = SPACED.findall(text)
+    seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if SPACED.search(x)]
+    repeat = len(covered)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeat, len(w) < 50 or 100 * repeat > 50 * len(w)
+
+
+def targets(sizes, weights=(5, 2, 1), total=1.5, most=2):
+    """sizes: {source: words} -> {source: target}, by reshared excess."""
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    left, free, out = total * sum(sizes.values()), list(names), {}
+    while free:
+        share = left / sum(weight[n] for n in free)
+        over = [n for n in free if share * weight[n] > most * sizes[n]]
+        if not over:
+            out |= {n: share * weight[n] for n in free}
+            break
+        for n in over:
+            out[n] = float(most * sizes[n])
+            left -= out[n]
+        free = [n for n in free if n not in over]
+    return out
+
+
+def mix(docs, seed="mix-1", **options):
+    """docs: (doc_id, text, source) -> {index: copies}."""
+    size = [len(SPACED.findall(t or "")) for _, t, _ in docs]
+    sources = {}
+    for n, (_, _, s) in zip(size, docs, strict=True):
+        sources[s] = sources.get(s, 0) + n
+    goal, out = targets(sources, **options), {}
+    for source, total in sources.items():
+        ratio = goal[source] / total if total else 0.0
+        whole = int(ratio)
+        share, rest = ratio - whole, goal[source] - whole * total
+        units = {}
+        for i, (doc, _, s) in enumerate(docs):
+            if s == source and size[i]:
+                u = (int(hashlib.md5(f"{seed}:{'null' if doc is None else doc}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+                q = (u / (1 - u)) / (share / (1 - share) if share > 0 else 1.0)
+                units.setdefault((q, 2**63 - 1 if doc is None else doc, size[i]), []).append(i)
+        run, picked, left = 0, set(), []
+        for unit in sorted(units):
+            run += unit[2] * len(units[unit])
+            (picked.add(unit) if run <= rest else left.append(unit))
+        had = sum(x[2] * len(units[x]) for x in picked)
+        best = min(((abs(rest - had - x[2] * len(units[x])), x) for x in left), default=None)
+        if best and best[0] < rest - had:
+            picked.add(best[1])
+        for unit, rows in units.items():
+            for i in rows:
+                out[i] = whole + (unit in picked)
+    return {i: out.get(i, 0) for i in range(len(docs))}
