@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from legajo.llm.chat_format import CONTENT, CONTROL, END, TURN
+from legajo.llm.quality_rules import COMMON, MAX_CLASS, MAX_COMMON, MIN_CHARS, MIN_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -93,4 +94,45 @@ SELECT c.doc_id, size, source_size, target,
 FROM c LEFT JOIN more ON more.sid = c.sid AND more.doc_id = c.doc_id
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op2_chat_format": OP2, "op4_jaccard_join": OP4, "op8_substring_dedup": OP8, "op10_pareto_mix": OP10}
+
+
+def _entropy(x: str) -> str:
+    return f"list_sum(list_transform({x}, lambda v: CASE WHEN v > 0 THEN -v * log2(v) ELSE 0 END))"
+
+
+def _distance(p: str, q: str) -> str:
+    middle = f"list_transform(range(1, len({p}) + 1), lambda i: ({p}[i] + {q}[i]) / 2)"
+    return f"round(sqrt(greatest(0, {_entropy(middle)} - ({_entropy(p)} + {_entropy(q)}) / 2)), 6)"
+
+
+def _shares(x: str) -> str:
+    return f"list_transform({x}, lambda v: CASE WHEN list_sum({x}) > 0 THEN v::DOUBLE / list_sum({x}) ELSE 0 END)"
+
+
+OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') w FROM documents),
+word AS (SELECT lang, unnest(w) x FROM d),
+top AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) k FROM word GROUP BY lang, x QUALIFY k <= {COMMON}),
+common AS (SELECT lang, list(x ORDER BY k) c FROM top GROUP BY lang),
+tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) n FROM d, unnest(range(1, len(w) - 1)) u(i)),
+rep AS (SELECT r, count(DISTINCT j) n FROM tri, unnest([i, i + 1, i + 2]) v(j) WHERE n > 1 GROUP BY r),
+a AS (SELECT *, regexp_replace(t, '\p{{L}}+', '', 'g') rest, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) chars,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls FROM d),
+b AS (SELECT *, length(rest) - length(regexp_replace(rest, '\p{{Nd}}+', '', 'g')) dig, length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')) up,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) sym FROM a),
+f AS (SELECT b.*, coalesce(rep.n, 0) n_repeat, [length(t) - length(rest) - up, up, dig, length(t) - chars, sym, length(rest) - dig - (length(t) - chars) - sym] cls,
+  list_transform(coalesce(c, []), lambda y: len(list_filter(w, lambda x: x = y))) h0
+  FROM b LEFT JOIN rep USING (r) LEFT JOIN common ON common.lang IS NOT DISTINCT FROM b.lang),
+g AS (SELECT *, list_append(h0, len(w) - coalesce(list_sum(h0), 0)) h FROM f),
+refs AS (SELECT lang, list(s ORDER BY i) q_cls FROM (SELECT lang, i, sum(cls[i]) s FROM g, unnest(range(1, 7)) u(i) GROUP BY lang, i) GROUP BY lang),
+refh AS (SELECT lang, list(s ORDER BY i) q_h FROM (SELECT lang, i, sum(h[i]) s FROM g, unnest(range(1, len(h) + 1)) u(i) GROUP BY lang, i) GROUP BY lang),
+s AS (SELECT g.*, {_shares("cls")} pc, {_shares("h")} ph, {_shares("q_cls")} qc, {_shares("q_h")} qh
+  FROM g JOIN refs ON refs.lang IS NOT DISTINCT FROM g.lang JOIN refh ON refh.lang IS NOT DISTINCT FROM g.lang),
+j AS (SELECT *, {_distance("pc", "qc")} class_js, {_distance("ph", "qh")} common_js, len(w) < 50 OR 100 * n_repeat > 50 * len(w) base_failed FROM s)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(chars AS BIGINT) word_chars, CAST(sym AS BIGINT) n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines,
+  CAST(n_repeat AS BIGINT) n_repeat_words, base_failed,
+  NOT base_failed AND NOT (len(w) >= {MIN_WORDS} AND length(t) >= {MIN_CHARS} AND (class_js > {MAX_CLASS} OR common_js > {MAX_COMMON})) kept, class_js, common_js
+FROM j
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op2_chat_format": OP2, "op4_jaccard_join": OP4, "op8_substring_dedup": OP8, "op9_quality_rules": OP9, "op10_pareto_mix": OP10}
