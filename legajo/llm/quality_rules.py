@@ -17,6 +17,8 @@ repeated rows, doc_ids and further columns change nothing.
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,13 +108,19 @@ def jensen_shannon(p: str, q: str) -> Column:
 
 def judge(docs: DataFrame, most: int = COMMON, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, the base counts, base_failed, class_js, common_js and kept of each row."""
+    if not 0 < most <= len(ascii_letters):
+        raise ValueError(f"most must be 1 to {len(ascii_letters)}")
     tune(docs.sparkSession)
     words = cut(common_words(docs, most).withColumnRenamed("lang", "_lang"))
     df = counts(docs).join(words, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    each = [F.size("words") - F.size(F.array_remove("words", F.coalesce(F.get("common", F.lit(k)), F.lit("")))) for k in range(most)]
+    # each word becomes one letter, that of its place among the common ones: counting letters is cheap
+    place = lambda x: F.coalesce(F.array_position("common", x), F.lit(0)).cast("int")
+    letters = F.transform("words", lambda x: F.substr(F.lit(" " + ascii_letters), place(x) + 1, F.lit(1)))
+    df = _once(df, "letters", F.array_join(letters, ""))
+    each = [F.length("letters") - F.length(F.replace("letters", F.lit(c), F.lit(""))) for c in ascii_letters[:most]]
     df = _once(df, "hits", F.array(*each).cast("array<long>"))
     found = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumn("hits", F.concat("hits", F.array(F.col("n_words") - found))).drop("words", "common")
+    df = df.withColumn("hits", F.concat("hits", F.array(F.col("n_words") - found))).drop("words", "letters", "common")
     df = cut(df)
     sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(6)] + [F.sum(F.get("hits", F.lit(k))).alias(f"h{k}") for k in range(most + 1)]
     refs = df.groupBy("lang").agg(*sums)
@@ -133,4 +141,5 @@ def judge(docs: DataFrame, most: int = COMMON, max_class: float = MAX_CLASS, max
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     from legajo.llm.common import documents
 
-    return judge(documents(spark, sf_dir))
+    out = judge(documents(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_js", "common_js")})
