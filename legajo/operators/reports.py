@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,10 @@ def nested_lines(lines: DataFrame) -> DataFrame:
     """Per document and page the ordered lines as an array."""
     line = F.struct("line_number", "line_text")
     return lines.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+
+def counted(df: DataFrame, name: str = "rows", **counts: Column) -> tuple[DataFrame, Observation]:
+    """df and an observation of its rows, and of those that meet each condition, filled by the action that runs it."""
+    seen = Observation(name)
+    sums = [F.count(F.when(c, 1)).alias(k) for k, c in counts.items()]
+    return df.observe(seen, F.count("*").alias("total"), *sums), seen

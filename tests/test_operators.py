@@ -132,6 +132,12 @@ def test_title_match(spark):
     assert reports.match_rate(got).first().match_rate == 40.0
 
 
+def test_counted(spark, tmp_path):
+    df, seen = reports.counted(spark.range(10), "batch", even=F.col("id") % 2 == 0)
+    df.write.parquet(str(tmp_path / "x"))
+    assert seen.get == {"total": 10, "even": 5}
+
+
 def test_clean_sections(spark):
     df = spark.createDataFrame([("d", "a\na,,\na,", 3), ("e", "", 0), (None, "x", 1)], "document_id string, content string, content_length int")
     cleaned, report = sections.clean_sections(df)
