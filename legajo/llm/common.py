@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from legajo.session import find_package
 
+_released = 0.0
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch may hold, so that very long texts don't fill a worker."""
@@ -53,7 +55,12 @@ def release(spark: SparkSession) -> None:
 
     It does so when the driver's JVM collects the plans that own them; a plan
     is held until the listeners have seen its last event, so this waits a moment.
+    Jobs that took a moment only leave little behind and are let pass.
     """
+    global _released
+    if time.monotonic() - _released < 3:
+        return
+    _released = time.monotonic()
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

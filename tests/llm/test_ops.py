@@ -208,13 +208,31 @@ def _near_texts():
 
 
 @pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
-def test_jaccard(spark, n, num, monkeypatch):
+def test_jaccard(spark, n, num):
     texts = _near_texts() + TEXTS
     docs = _docs(spark, range(len(texts)), texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(docs, n, num).collect()}
     assert got == brute.jaccard(_pairs(docs), n, num)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_jaccard_near_the_threshold(spark, monkeypatch, block):
+    """Copies of one text whose mutual similarity lies on both sides of the threshold."""
+    monkeypatch.setattr(jaccard_join, "_BLOCK", block)
+    rng = random.Random(11)
+    words = [f"t{i}" for i in range(3000)]
+    base, texts = [rng.choice(words) for _ in range(150)], []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own))
+    docs = _docs(spark, range(len(texts)), texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(docs).collect()}
+    assert got == brute.jaccard(_pairs(docs))
+    assert 1 < len({c for _, c in got.values()}) < 60
+
+
 def test_jaccard_real(spark, real):
     got = {r[0]: tuple(r)[1:] for r in jaccard_join.op4_jaccard_join(spark, DATA).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == brute.jaccard(_pairs(real))
