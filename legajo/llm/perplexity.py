@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import cut, tune
+from legajo.llm.common import cut, narrowed, tune
 from legajo.llm.text import mix64, signed, slices, stream64
 
 ORDER = 4
@@ -304,8 +304,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, level: float = LEVEL, margin: float = MARGIN, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept of each row of docs."""
     tune(docs.sparkSession)
-    trusted = trusted_ids(labels)
-    model = Model(docs.select("doc_id", "lang", "text").join(trusted, "doc_id", "left_semi"))
+    trusted = cut(trusted_ids(labels))
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), "lang", "text")
+    # a Bloom filter of fixed size first; then texts move for one join, whatever the number of labels
+    ids = trusted.select(F.col("doc_id").cast("long").alias("key"))
+    model = Model(narrowed(texts, ids).join(ids.hint("merge"), "key", "left_semi"))
     scored = cut(perplexities(docs, model, most_rows))
     bound = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
     bound = bound.groupBy("lang").agg((F.percentile_approx("perplexity", level, 10_000) * margin).alias("threshold"))
