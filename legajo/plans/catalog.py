@@ -73,8 +73,9 @@ def _sql_squeeze(x: str) -> str:
 def _sql_collapse(x: str) -> str:
     """Without back-references: characters that repeat the one before are filtered out."""
     s = f"string_split({x}, '')"
-    keep = r"NOT (i > 1 AND ch = " + s + r"[i - 1] AND regexp_matches(ch, '^[\p{L}\p{N}_]$'))"
-    return f"array_to_string(list_filter({s}, lambda ch, i: {keep}), '')"
+    near = f"list_zip({s}, list_prepend('', {s}))"  # the last has no character of its own
+    keep = r"NOT (p[1] = p[2] AND regexp_matches(p[1], '^[\p{L}\p{N}_]$'))"
+    return f"CASE WHEN {x} IS NOT NULL THEN array_to_string(list_transform(list_filter({near}, lambda p: p[1] IS NOT NULL AND {keep}), lambda p: p[1]), '') END"
 
 
 def _sql_canonical(x: str) -> str:
@@ -506,7 +507,7 @@ def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_headings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings without entities or nested tags, in the JVM."""
     found = F.regexp_extract_all("html", F.lit(r"(?s)<h1[^>]*>([^<&]*)</h1>"), F.lit(1))
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.transform(found, F.trim)).alias("title"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.transform(found, lambda x: F.trim(x))).alias("title"))
 
 
 @query(
