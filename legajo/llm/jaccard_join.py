@@ -14,8 +14,8 @@ shingle fell into say nothing; a set with at most `blank` such words sends its
 other words only.
 
 No group of equal words is expanded into pairs.  Each group links its members
-to its least member; after these pairs are verified on the texts, links make
-components.  What is left are pairs of one group that lie in different
+to its least member; pairs that denser parity sketches don't rule out are
+verified on the texts, and links make components.  What is left are pairs of one group that lie in different
 components.  They meet on the rarer groups only: with all groups in one order,
 by size, each set leaves out its last `spare` ones, and a linked pair still
 shares one of the others (prefix filtering), so what a passage common to very
@@ -238,7 +238,28 @@ def _joined(member: DataFrame, name: str, roots: DataFrame) -> DataFrame:
     return member.join(known, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
 
 
-def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, bodies: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int, by: Bands) -> DataFrame:
+    """Of pairs (a, b) those whose sizes and dense sketches allow a link."""
+    sizes = sketches.select("node", "n").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
+    pairs = pairs.where((F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num))
+    pairs = pairs.withColumn("odd", (_band(F.least("na", "nb"), by) % 2).cast("int"))
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), "odd", F.col("sketch").alias(f"s{side}")), [side, "odd"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, sa, sb in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
+                apart = int(np.bitwise_count(np.frombuffer(sa, dtype=np.uint64) ^ np.frombuffer(sb, dtype=np.uint64)).sum())
+                keep.append(apart * (den + num) <= (na + nb) * (den - num))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, sketches: DataFrame, num: int, den: int, by: Bands) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a group and may be linked."""
     groups = stars.groupBy("bucket").agg(F.count("*").alias("size"), F.min("a").alias("node"))
     member = stars.select("bucket", F.col("b").alias("node")).union(groups.select("bucket", "node")).distinct()
@@ -251,76 +272,81 @@ def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, bodies: Da
     sizes = meta.groupBy("node").agg(F.first("n").alias("n"))
     side = cut(member.join(mixed, "bucket").join(sizes, "node"))
     # the members of a group meet in blocks, with denser sketches of their sets
-    by = bands(num, den, meta.agg(F.max("n")).first()[0] or 1)
-    dense = side.select("node").distinct().join(bodies, "node").mapInArrow(_dense(n, num, den, by), "node long, odd int, sketch binary")
+    side = side.withColumn("odd", F.expr("cast(shiftright(bucket & 64, 6) as int)"))
+    groups = side.groupBy("node", "odd").agg(F.sort_array(F.collect_list("bucket")).alias("groups"))  # at most as many as a sketch has words
+    dense = sketches.select("node", "odd", "sketch").join(groups, ["node", "odd"])
     crowd = side.groupBy("bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
-    side = side.join(crowd, "bucket").withColumn("odd", F.expr("cast(shiftright(bucket & 64, 6) as int)")).join(dense, ["node", "odd"])
+    side = side.join(crowd, "bucket").join(dense, ["node", "odd"])
     side = side.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     side = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = side.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "node_root", "n", "sketch")
+    side = side.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "node_root", "n", "sketch", "groups")
     side = side.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    met = side.mapInArrow(_compare(num, den), "bucket long, a long, b long, na long, nb long")
-    # count shared words in the band of the smaller set alone
-    band = _band(F.least("na", "nb"), by)
-    met = met.where(F.expr("shiftright(bucket & 64, 6)") == band % 2)
-    shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    differ = F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num))
-    least = F.get(F.array(*map(F.lit, (w - b - s for w, b, s in zip(by.words, by.blank, by.spare, strict=True)))), band) - differ
-    return shared.where(F.col("shared") >= least).select("a", "b")
+    return side.mapInArrow(_compare(num, den, by), "a long, b long")
 
 
-def _dense(n: int, num: int, den: int, by: Bands):
+def _dense(n: int, by: Bands):
     """Bit-parity sketches of each node, one for its own band and one for the band below: four bits to a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column(batch.schema.get_field_index("text")), SPACE, lower=True)
             node = batch.column(batch.schema.get_field_index("node")).to_pylist()
-            rows = ([], [], [])
+            rows = ([], [], [], [])
             for who, own in zip(node, shingle_sets(words, n), strict=True):
                 top = int(np.searchsorted(by.low, len(own), side="right")) - 1
                 for band in (top, top - 1) if top else (top,):
                     bits = 64 * (-(-4 * by.low[min(band + 1, len(by.low) - 1)] // 64))
                     spot = np.bincount((mix64(own ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-                    for column, x in zip(rows, (who, band % 2, np.packbits(spot.astype(bool)).tobytes()), strict=True):
+                    for column, x in zip(rows, (who, band % 2, len(own), np.packbits(spot.astype(bool)).tobytes()), strict=True):
                         column.append(x)
-            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["node", "odd", "sketch"])
+            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], names=["node", "odd", "n", "sketch"])
 
     return run
 
 
-def _compare(num: int, den: int):
-    """Rows sorted by (bucket, i, j): pairs of different components whose dense sketches allow a link."""
+def _compare(num: int, den: int, by: Bands):
+    """Rows sorted by (bucket, i, j): pairs of different components that may be linked.
+
+    Sizes, the dense sketches and the number of shared groups must allow it; a
+    pair comes from the first group that both have, so it comes once.
+    """
+    sure = np.array(by.words) - np.array(by.blank) - np.array(by.spare)
 
     def pairs(bucket, i, j, rows):
         own, node, root, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
         sketch = np.stack([np.frombuffer(r[4], dtype=np.uint64) for r in rows])
+        lists = [np.array(r[5], dtype=np.int64) for r in rows]
         for x in range(len(rows) - 1):
             rest = slice(x + 1, None)
             small, large = np.minimum(n[x], n[rest]), np.maximum(n[x], n[rest])
-            ok = (root[rest] != root[x]) & (small * den >= large * num)
+            band = np.searchsorted(by.low, small, side="right") - 1
+            # groups are counted in the band of the smaller set alone
+            ok = (root[rest] != root[x]) & (small * den >= large * num) & (band % 2 == (bucket & 64) >> 6)
             if i != j:
                 ok &= own[rest] != own[x]
-            at = np.flatnonzero(ok) + x + 1
-            if len(at):
-                apart = np.bitwise_count(sketch[at] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-                for y in at[apart * (den + num) <= (n[at] + n[x]) * (den - num)]:
-                    a, b = (x, y) if node[x] < node[y] else (y, x)
-                    yield bucket, int(node[a]), int(node[b]), int(n[a]), int(n[b])
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            apart = np.bitwise_count(sketch[at + x + 1] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            both = n[at + x + 1] + n[x]
+            for y, total in zip(at[fits := apart * (den + num) <= both * (den - num)], both[fits], strict=True):
+                shared = np.intersect1d(lists[x], lists[x + 1 + y], assume_unique=True)
+                if shared[0] == bucket and len(shared) >= sure[band[y]] - total * (den - num) // (den + num):
+                    a, b = sorted((int(node[x]), int(node[x + 1 + y])))
+                    yield a, b
 
     def batch_of(found):
-        columns = list(zip(*found, strict=True))
-        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["bucket", "a", "b", "na", "nb"])
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for *key, own, node, root, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, own, node, root, n, sketch, groups in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
                     if len(rows) > 1 and (found := list(pairs(*now, rows))):
                         yield batch_of(found)
                     now, rows = key, []
-                rows.append((own, node, root, n, sketch))
+                rows.append((own, node, root, n, sketch, groups))
         if len(rows) > 1 and (found := list(pairs(*now, rows))):
             yield batch_of(found)
 
@@ -343,10 +369,12 @@ def _classes(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     wanted = tested.select(F.col("a").alias("node")).union(tested.select(F.col("b").alias("node"))).distinct()
     first = meta.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node")
     bodies = cut(first.join(texts, "key").select("node", "text"))
-    links = cut(_links(tested, bodies, n, num, den))
+    by = bands(num, den, meta.agg(F.max("n")).first()[0] or 1)
+    sketches = cut(bodies.mapInArrow(_dense(n, by), "node long, odd int, n long, sketch binary"))
+    links = cut(_links(cut(_likely(tested, sketches, num, den, by)), bodies, n, num, den))
     roots = cut(components(links))
 
-    left = cut(_still_apart(stars, roots, meta, bodies, n, num, den).join(tested, ["a", "b"], "left_anti"))
+    left = cut(_still_apart(stars, roots, meta, sketches, num, den, by).join(tested, ["a", "b"], "left_anti"))
     if not left.isEmpty():
         links = links.union(cut(_links(left, bodies, n, num, den)))
         roots = cut(components(links))
