@@ -34,26 +34,27 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _GAP), "")
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once per row, however often lambdas read it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
+def _once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns that are computed once per row, however often lambdas read them."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang and words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes of each row."""
     text = F.coalesce("text", F.lit("")).alias("text")
     df = docs.select("doc_id", "lang", text)
-    df = _once(df, "words", _words(F.col("text")))
-    df = _once(df, "rest", F.regexp_replace("text", r"\p{L}+", ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = _once(df, "lines", lines)
-    # 3-word windows, sorted by hash: equal ones become neighbours
+    df = _once(df, words=_words(F.col("text")), rest=F.regexp_replace("text", r"\p{L}+", ""), lines=lines)
     df = df.withColumn("n_words", F.size("words").cast("long"))
     triple = F.transform(
         F.slice("words", F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))),
-        lambda x, i: F.struct(F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
+        lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)),
     )
-    df = _once(df, "windows", F.sort_array(triple))
+    df = _once(df, triples=triple)
+    # texts with equal 3-word windows alone are sorted by hash: equal ones become neighbours
+    some = F.size(F.array_distinct("triples")) < F.size("triples")
+    paired = F.sort_array(F.transform("triples", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = _once(df, windows=F.when(some, paired).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     twice = F.filter("windows", lambda x, i: (x["h"] == F.get("windows", i + 1)["h"]) | ((i > 0) & (x["h"] == F.get("windows", F.greatest(i - 1, F.lit(0)))["h"])))
     places = F.sort_array(F.transform(twice, lambda x: x["i"]))
     repeat = F.aggregate(
@@ -116,9 +117,9 @@ def judge(docs: DataFrame, most: int = COMMON, max_class: float = MAX_CLASS, max
     # each word becomes one letter, that of its place among the common ones: counting letters is cheap
     place = lambda x: F.coalesce(F.array_position("common", x), F.lit(0)).cast("int")
     letters = F.transform("words", lambda x: F.substr(F.lit(" " + ascii_letters), place(x) + 1, F.lit(1)))
-    df = _once(df, "letters", F.array_join(letters, ""))
+    df = _once(df, letters=F.array_join(letters, ""))
     each = [F.length("letters") - F.length(F.replace("letters", F.lit(c), F.lit(""))) for c in ascii_letters[:most]]
-    df = _once(df, "hits", F.array(*each).cast("array<long>"))
+    df = _once(df, hits=F.array(*each).cast("array<long>"))
     found = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("hits", F.concat("hits", F.array(F.col("n_words") - found))).drop("words", "letters", "common")
     df = cut(df)
