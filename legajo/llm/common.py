@@ -58,7 +58,7 @@ def release(spark: SparkSession) -> None:
     Jobs that took a moment only leave little behind and are let pass.
     """
     global _released
-    if time.monotonic() - _released < 3:
+    if time.monotonic() - _released < 1:
         return
     _released = time.monotonic()
     for _ in range(2):

@@ -285,7 +285,7 @@ def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, sketches:
 
 
 def _dense(n: int, by: Bands):
-    """Bit-parity sketches of each node, one for its own band and one for the band below: four bits to a shingle."""
+    """Bit-parity sketches of each node, one for its own band and one for the band below: two bits to a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -295,7 +295,7 @@ def _dense(n: int, by: Bands):
             for who, own in zip(node, shingle_sets(words, n), strict=True):
                 top = int(np.searchsorted(by.low, len(own), side="right")) - 1
                 for band in (top, top - 1) if top else (top,):
-                    bits = 64 * (-(-4 * by.low[min(band + 1, len(by.low) - 1)] // 64))
+                    bits = 64 * (-(-2 * by.low[min(band + 1, len(by.low) - 1)] // 64))
                     spot = np.bincount((mix64(own ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                     for column, x in zip(rows, (who, band % 2, len(own), np.packbits(spot.astype(bool)).tobytes()), strict=True):
                         column.append(x)
