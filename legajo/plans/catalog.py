@@ -370,6 +370,18 @@ def left_join_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.left_join_nullsafe(left, right, "k")
 
 
+@query(
+    """SELECT o_orderkey, o.k AS k, o_orderstatus AS status_x, c_name, c_mktsegment AS status_y
+    FROM (SELECT o_orderkey, o_orderstatus, nullif(o_custkey, 3) k FROM orders) o
+    LEFT JOIN (SELECT nullif(c_custkey, 9) k, c_name, c_mktsegment FROM customer) c ON o.k IS NOT DISTINCT FROM c.k"""
+)
+def left_join_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with all customers, on the key as it is; left_join_records takes 40 customers and folded keys."""
+    left = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.nullif("o_custkey", F.lit(3)).alias("k"))
+    right = _table(spark, sf_dir, "customer").select(F.nullif("c_custkey", F.lit(9)).alias("k"), "c_name", F.col("c_mktsegment").alias("status"))
+    return rel.left_join_nullsafe(left, right, "k")
+
+
 @query(
     """SELECT c_custkey, c.categoria AS categoria, categoria_id FROM (SELECT c_custkey, nullif(n_name, 'FRANCE') categoria FROM customer JOIN nation ON c_nationkey = n_nationkey) c
     LEFT JOIN (SELECT CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE n_name END categoria, n_nationkey categoria_id FROM nation) d ON c.categoria IS NOT DISTINCT FROM d.categoria"""
