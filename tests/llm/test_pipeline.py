@@ -1,5 +1,6 @@
 """The pipeline against plain Python versions of its stages."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -37,3 +38,27 @@ def test_stages(spark, tmp_path):
             assert all(r.text == rows[r.doc_id].text for r in got)
         last, docs = ids, spark.read.parquet(str(tmp_path / name))
         rows = {i: rows[i] for i in ids}
+
+
+def test_language_stage_sends_off_junk_and_foreign_texts(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    words = lambda n, letters, most: " ".join("".join(rng.choices(letters, k=rng.randint(2, most))) for _ in range(n))
+    bad = [words(n, "abcdefghijklmnopqrstuvwxyz", 9) for n in (20, 200, 2000, 2000, 10000)] + [words(200, "0123456789abcdef", 9)]
+    bad += [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+    ]
+    long = real.where("n_chars > 200").orderBy("doc_id").limit(60).collect()
+    cuts = [" ".join(r.text.split()[:k]) for r in long for k in (5, 12, 40)]
+    clean = [t for t in cuts if any(c.isalpha() for c in t)]
+    assert len(clean) > 100
+    rows = [(-1 - i, t, None, "added", len(t)) for i, t in enumerate(bad + clean)]
+    added = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*real.columns)
+    docs = real.unionByName(added.select(*[added[c].cast(real.schema[c].dataType).alias(c) for c in real.columns]))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").select("doc_id").collect()}
+    assert not {-1 - i for i in range(len(bad))} & kept
+    assert {-1 - i for i in range(len(bad), len(rows))} <= kept
+    assert {r.doc_id for r in real.where("text rlike '[a-z]'").select("doc_id").collect()} <= kept
