@@ -4,7 +4,7 @@ The model is trained on all trusted text (every document whose labels all say
 quality 1), one per language.  N-grams are counted per slice of texts, then by
 partial aggregation; lower orders count distinct continuations; count-of-count
 discounts, context sums and back-off weights come from joins that are sharded
-by n-gram and context.  The model's rows grow with the text that is trusted.
+by n-gram and context.  The model's rows grow far slower than the trusted text.
 
 A document's perplexity is looked up n-gram by n-gram.  The model goes to the
 tasks while it has at most `most_rows` rows (16 bytes each); beyond it the
