@@ -7,7 +7,10 @@ without replacement.  For it, documents are ranked by the ratio of random odds
 u / (1 - u) to inclusion odds f / (1 - f), times a document's weight if a
 weight column makes the probabilities unequal, and taken from the smallest ratio
 on while the words stay within the target (a sample of fixed size in words).
-What is then missing is filled by the one document left that fits it best.
+What is then missing is filled by the one document left that fits it best; smaller
+ones that would still fit are passed over.  A source with documents left ends off
+its target by at most half the size of the first one past the cut (rows alike
+count as one), which in a small source with one long document is much.
 
 Running sums over a source are taken over range partitions and their offsets,
 so a source with a third of all rows is spread over tasks.  u comes from a
