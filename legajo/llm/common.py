@@ -6,31 +6,55 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.session import find_package
 
-_released = 0.0
+_SHORT = 2.0  # seconds
+_folders: list[list[str]] = []  # what `scratch` will delete, one list for each that is open
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 20_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound what one Arrow batch may hold, so that very long texts don't fill a worker."""
+    """Bound what one Arrow batch may hold, so that very long texts don't fill a worker; a session's own lower bounds stay.
+
+    Plans read these settings when they run, so they can't be put back here.
+    """
     find_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    for name, most in _BATCH.items():
+        own = spark.conf.get(name)
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(name, str(most))
     return spark
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, which may hold dots and backquotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [quoted(c) for c in df.columns]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary one serves a local session (tests); on a
+    cluster every executor would write to its own disk, so that raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="legajo-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,24 +67,40 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/legajo/{uuid.uuid4().hex}"
+    if _folders:
+        _folders[-1].append(path)
+    began = time.monotonic()
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    release(spark)
+    if time.monotonic() - began > _SHORT:  # shorter jobs leave little behind
+        release(spark)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever file system it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes in the end what `cut` wrote inside: for work whose result is written by then."""
+    _folders.append([])
+    try:
+        yield
+    finally:
+        for path in _folders.pop():
+            delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs.
 
     It does so when the driver's JVM collects the plans that own them; a plan
     is held until the listeners have seen its last event, so this waits a moment.
-    Jobs that took a moment only leave little behind and are let pass.
     """
-    global _released
-    if time.monotonic() - _released < 1:
-        return
-    _released = time.monotonic()
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
@@ -114,7 +154,7 @@ def narrowed(df: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:
 
     With more keys than bits it lets more rows through.
     """
-    return _tested(df, _bloom(keys, bits), bits).where("_maybe").select(*df.columns)
+    return _tested(df, _bloom(keys, bits), bits).where("_maybe").select(*columns(df))
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -141,7 +181,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def with_key(docs: DataFrame, keys: DataFrame | None) -> DataFrame:
     """(key, row): the key that keyed() gave to each row, and the whole row, whatever its columns are called."""
-    row = F.struct(*docs.columns).alias("row")
+    row = F.struct(*columns(docs)).alias("row")
     ident = F.col("doc_id").cast("long")
     if keys is None:
         return docs.select(ident.alias("key"), row)
@@ -155,9 +195,9 @@ def without(docs: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:
     """Rows of docs (with `key`) whose key is not among keys; only rows that a Bloom filter suspects are shuffled."""
     table = cut(keys.select("key").distinct())
     words = _bloom(table, bits)
-    clear = _tested(docs, words, bits).where("not _maybe").select(*docs.columns)
-    maybe = _tested(docs, words, bits).where("_maybe").select(*docs.columns)
-    return clear.unionByName(maybe.join(table, "key", "left_anti").select(*docs.columns))
+    clear = _tested(docs, words, bits).where("not _maybe").select(*columns(docs))
+    maybe = _tested(docs, words, bits).where("_maybe").select(*columns(docs))
+    return clear.unionByName(maybe.join(table, "key", "left_anti").select(*columns(docs)))
 
 
 def restored(result: DataFrame, keys: DataFrame | None, also: tuple[str, ...] = ()) -> DataFrame:
@@ -172,5 +212,5 @@ def restored(result: DataFrame, keys: DataFrame | None, also: tuple[str, ...] =
         names = keys.select(F.col("key").alias(name), F.col("doc_id").alias("_id"))
         out = out.join(names, name, "left").drop(name).withColumnRenamed("_id", name)
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    rest = [c for c in result.columns if c != "key"]
+    rest = [quoted(c) for c in result.columns if c != "key"]
     return out.select("doc_id", *rest)
