@@ -8,12 +8,15 @@ document and j in the profile is |i - j| out of place, one that the profile
 lacks counts as the maximum.  The language with the least sum wins.
 
 Training counts cover all given rows; they are combined per slice of texts and
-by Spark's partial aggregation before n-grams meet, and only `profile` n-grams
-per language come back to the driver.
+by Spark's partial aggregation before n-grams meet.  Profiles are held in
+groups of at most `group` languages (so what one task holds is bounded); with
+more languages than that, documents pass through one group after the other and
+keep the best language so far.  Work grows with the number of groups, and no
+language is left out.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or
-where nothing was learned.  Ties go to the language that sorts first.  Rows are
-judged one by one: repeated rows and doc_ids and further columns change nothing.
+where nothing was learned.  N-grams of equal count rank by their code.  Equal
+distances go to the language that sorts first.  Rows are judged one by one: repeated rows and doc_ids and further columns change nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from legajo.llm.text import mix64, slices
 
 PROFILE = 400  # n-grams of a language's profile
 TOP = 300  # n-grams of a document that are compared
-LANGUAGES = 1000  # at most so many profiles are held in memory
+LANGUAGES = 1000  # profiles that are held in memory at once
 _GRAM = np.uint64((1 << 44) - 1)
 
 
@@ -145,32 +148,44 @@ class Profiles:
         return lang, [float(s) if u else 0.0 for s, u in zip(score, used, strict=True)]
 
 
-def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
-    """Profiles from all rows of docs with a text and a lang."""
+def learn(docs: DataFrame, size: int = PROFILE, group: int = LANGUAGES) -> list[Profiles]:
+    """Profiles from all rows of docs with a text and a lang, in groups of languages in their order."""
     tune(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("text", "lang")
     counts = rows.mapInArrow(_train, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     best = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size)
     best = cut(best.select("lang", "gram", "rank"))
-    known = best.select("lang").distinct().count()
-    if known > LANGUAGES:
-        raise ValueError(f"{known} languages; at most {LANGUAGES} profiles are held in memory")
-    return Profiles([tuple(r) for r in best.collect()], size)
+    known = sorted(r.lang for r in best.select("lang").distinct().collect())
+    parts = [known[i : i + group] for i in range(0, len(known), group)]
+    return [Profiles([tuple(r) for r in best.where(F.col("lang").between(p[0], p[-1])).collect()], size) for p in parts]
 
 
-def identify(docs: DataFrame, profiles: Profiles, top: int = TOP, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the predicted language and its score, in columns called `names` (which replace any of docs)."""
+def _pass(profiles: Profiles, top: int, names: tuple[str, str], first: bool):
+    """Adds the columns `names`, or betters those that an earlier group of languages gave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lang, score = profiles.judge(_texts(batch), top)
-            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
+            rest = batch.columns
+            if not first:
+                *rest, before, had = rest
+                for i, (x, y) in enumerate(zip(before.to_pylist(), had.to_pylist(), strict=True)):
+                    if y >= score[i]:
+                        lang[i], score[i] = x, y
+            yield pa.record_batch([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: len(rest)], *names])
+
+    return run
 
+
+def identify(docs: DataFrame, profiles: list[Profiles], top: int = TOP, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, in columns called `names` (which replace any of docs)."""
     tune(docs.sparkSession)
     docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    for i, group in enumerate(profiles or [Profiles([])]):
+        docs = docs.mapInArrow(_pass(group, top, names, i == 0), schema)
+    return docs
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
