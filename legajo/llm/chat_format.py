@@ -18,7 +18,10 @@ turn.
 
 Defined results: null text or role is empty; null turn sorts first, null
 conv_id is a conversation of its own; rows that share conv_id and turn are
-ordered by role and text, and repeated rows stay; unknown part types raise.
+ordered by role and text, and repeated rows stay; unknown part types raise, and
+so does a formatted text that doesn't consist of whole turns, or attachments
+that don't fit its placeholders.  Further columns are ignored; a table without
+turns gives no rows.
 """
 
 from __future__ import annotations
@@ -125,22 +128,38 @@ def format_turn(role: str, parts: list[Part]) -> tuple[str, list[tuple[int, int]
     return head + "".join(body.out) + END, body.texts, body.attachments
 
 
-def parse(formatted: str) -> list[tuple[str, list[Part]]]:
-    """(role, parts) of each turn of a formatted text; attachments come back by kind."""
-    out = []
+def parse(formatted: str, attachments: list[tuple[str, int]] | None = None) -> list[tuple[str, list[Part]]]:
+    """(role, parts) of each turn of a formatted text.
+
+    attachments: (reference, tokens) of all its placeholders in order; without
+    them parts have their kind only.
+    """
+    out, end = [], 0
+    left = None if attachments is None else list(attachments)
     for m in _TURN.finditer(formatted):
+        if m.start() != end:
+            raise ValueError(f"no turn begins at {end}")
+        end = m.end()
         parts, at = [], 0
         for p in _PLACE.finditer(m[2]):
             if p.start() > at:
                 parts.append(Part("text", unescape(m[2][at : p.start()])))
-            parts.append(Part(_KIND[p[0]]))
+            if left is not None and not left:
+                raise ValueError("more placeholders than attachments")
+            ref, tokens = left.pop(0) if left else ("", 0)
+            parts.append(Part(_KIND[p[0]], ref=ref, tokens=tokens))
             at = p.end()
         if at < len(m[2]) or not parts:
             parts.append(Part("text", unescape(m[2][at:])))
         out.append((unescape(m[1]), parts))
+    if end != len(formatted):
+        raise ValueError(f"no turn begins at {end}")
+    if left:
+        raise ValueError("more attachments than placeholders")
     return out
 
 
+_CONTENT = "array<struct<type:string,text:string,ref:string,tokens:int>>"
 _FORMATTED = "conv_id long, turn long, role string, text string, formatted string, loss array<struct<a:int,b:int>>, attachments array<struct<kind:string,ref:string,tokens:int,at:int>>, n_expanded long"
 
 
@@ -178,16 +197,35 @@ def _format(trained: tuple[str, ...]):
 def format_conversations(turns: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """One row per turn: its formatted text, loss spans and attachments.
 
-    turns: conv_id, turn, role and text; or instead of a text `content`, an
-    array<struct<type string, text string, ref string, tokens int>>.
+    turns: conv_id, turn, role and text or `content`, an array<struct<type
+    string, text string, ref string, tokens int>>.  With both columns a row's
+    content goes before its text, unless it is null.
     """
     tune(turns.sparkSession)
-    kind = "array<struct<type:string,text:string,ref:string,tokens:int>>"
-    content = F.col("content").cast(kind) if "content" in turns.columns else F.lit(None).cast(kind)
-    own = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", content.alias("content"))
+    if not {"text", "content"} & set(turns.columns):
+        raise ValueError("turns have neither text nor content")
+    text = F.col("text") if "text" in turns.columns else F.lit(None).cast("string")
+    content = F.col("content").cast(_CONTENT) if "content" in turns.columns else F.lit(None).cast(_CONTENT)
+    own = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", text.alias("text"), content.alias("content"))
     return own.mapInArrow(_format(trained), _FORMATTED)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roles, contents = [], []
+        for formatted, attached in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            ((role, parts),) = parse(formatted, [(a["ref"], a["tokens"]) for a in attached])
+            roles.append(role)
+            contents.append([{"type": p.type, "text": p.text, "ref": p.ref, "tokens": p.tokens} for p in parts])
+        kind = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(contents, kind)], names=["conv_id", "turn", "role", "content"])
+
+
+def read_parts(formatted: DataFrame) -> DataFrame:
+    """conv_id, turn, role and content of each formatted turn: what format_conversations was given, neighbouring texts as one."""
+    return formatted.select("conv_id", "turn", "formatted", "attachments").mapInArrow(_parts, f"conv_id long, turn long, role string, content {_CONTENT}")
+
+
 class _Reader:
     """Digests of one conversation, read back from its formatted turns."""
 
