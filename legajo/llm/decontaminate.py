@@ -4,20 +4,22 @@ Index: postings (term, document, position) of the training texts.  A benchmark
 item is cut into windows of `window` words (an item of fewer words is one
 window).  The lists of a window's two rarest terms are shifted by the terms'
 offsets in the window and intersected; where both agree on a start, the words
-there are compared with the window (phrase), or their span is checked
-(proximity).
+there are compared with the window by a hash of 64 bits of their hashes
+(phrase), or their span is checked (proximity).
 
 Terms are counted over the whole corpus first, and only postings of terms that
 are the rarest of some window are kept, so frequent words never enter the
-index.  Per slice of texts, counts are combined before the shuffle.  The test
-terms are sent to the tasks only while there are at most `most_terms` of them
-(8 bytes each); beyond it all terms are posted and a join selects.  Texts are
-read again only to compare candidates: a Bloom filter of fixed size drops other
-documents before that join's shuffle.
+index.  Per slice of texts, counts are combined before the shuffle.  Which
+terms are counted and posted is told by a Bloom filter of fixed size; the joins
+that follow select exactly, so a filter that is full, with very many test
+terms, costs time only.  Texts are read again only to compare candidates: another
+such filter drops other documents before that join's shuffle.
 
 Defined results: a null or blank text or item has no words and matches
-nothing.  Items that share an item_id count once; words of an item without id count as hit, but it is
-not listed.  doc_ids as in common.keyed.
+nothing.  Items that share an item_id count once; words of an item without id
+count as hit, but it is not listed.  doc_ids as in common.keyed: rows repeated
+in full are judged alike.  Without items no word is hit; an empty table gives no
+rows; further columns are ignored, or carried along by drop_contaminated.
 """
 
 from __future__ import annotations
@@ -33,21 +35,31 @@ from legajo.llm.common import cut, keyed, narrowed, restored, tune, with_key, wi
 from legajo.llm.text import NON_WORD, Words, signed, slices, window_hash
 
 WINDOW = 13
-MOST_TERMS = 1 << 20
+BITS = 24  # of the filter of terms: 2^24 bits, 2 MB
 
 
 def _words(batch: pa.RecordBatch) -> Words:
     return Words(batch.column(batch.schema.get_field_index("text")), NON_WORD, lower=True)
 
 
-def _member(values: np.ndarray, table: np.ndarray | None) -> np.ndarray:
-    """Which of values are in the sorted table (all, without one)."""
-    if table is None:
-        return np.ones(len(values), dtype=bool)
-    if not len(table):
-        return np.zeros(len(values), dtype=bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values
+def _spot(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _maybe(values: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Which of values the filter lets through."""
+    spot = _spot(values, bits)
+    return (table[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _filter(terms: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the column `term`: 2^bits bits, whatever the number of terms."""
+    spot = F.shiftrightunsigned("term", 64 - bits)
+    words = terms.select(F.shiftright(spot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - bits}) & 63 as int))").alias("bit"))
+    table = np.zeros(1 << max(0, bits - 6), dtype=np.uint64)
+    for word, mask in words.groupBy("word").agg(F.bit_or("bit")).collect():
+        table[word] = np.uint64(mask & ((1 << 64) - 1))
+    return table
 
 
 def _item_windows(window: int):
@@ -56,31 +68,30 @@ def _item_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = _words(batch)
-            items = batch.column(batch.schema.get_field_index("item_id")).to_pylist()
-            item, phrase, terms = [], [], []
-            for i, name in enumerate(items):
-                own = words.hash[words.bounds[i] : words.bounds[i + 1]]
-                k = min(window, len(own))
-                for at in range(len(own) - k + 1) if k else ():
-                    item.append(name)
-                    phrase.append(signed(window_hash(own[at : at + k], k))[0])
-                    terms.append(signed(own[at : at + k]).tolist())
-            yield pa.record_batch([pa.array(item, pa.string()), pa.array(phrase, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names=["item", "phrase", "terms"])
+            items = batch.column(batch.schema.get_field_index("item_id"))
+            for k in np.unique(np.minimum(words.count, window)):
+                # items of at least `window` words share k
+                at = words.starts_of(k) if k else np.zeros(0, dtype=np.int64)
+                at = at[(np.minimum(words.count, window) == k)[words.text_of_word()[at]]]
+                terms = words.hash[(at[:, None] + np.arange(k)).ravel()]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * k, pa.int32()), pa.array(signed(terms)))
+                names = items.take(pa.array(words.text_of_word()[at]))
+                yield pa.record_batch([names, pa.array(signed(words.windows(int(k))[at])), lists], names=["item", "phrase", "terms"])
 
     return run
 
 
-def _count_terms(table: np.ndarray | None):
+def _count_terms(table: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             value = signed(_words(batch).hash)
-            term, n = np.unique(value[_member(value, table)], return_counts=True)
+            term, n = np.unique(value[_maybe(value, table, bits)], return_counts=True)
             yield pa.record_batch([pa.array(term), pa.array(n.astype(np.int64))], names=["term", "n"])
 
     return run
 
 
-def _post(table: np.ndarray | None):
+def _post(table: np.ndarray, bits: int):
     """Postings of the terms in table; for each document also (null, key, number of words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +99,7 @@ def _post(table: np.ndarray | None):
             words = _words(batch)
             key = batch.column(batch.schema.get_field_index("key")).to_numpy()
             value = signed(words.hash)
-            at = np.flatnonzero(_member(value, table))
+            at = np.flatnonzero(_maybe(value, table, bits))
             doc = words.text_of_word()[at]
             term = pa.concat_arrays([pa.array(value[at]), pa.nulls(len(key), pa.int64())])
             keys = np.concatenate([key[doc], key])
@@ -98,58 +109,42 @@ def _post(table: np.ndarray | None):
     return run
 
 
-def _bounded(terms: DataFrame, most: int) -> np.ndarray | None:
-    """The distinct terms, sorted, if there are at most `most`."""
-    if terms.limit(most + 1).count() > most:
-        return None
-    return np.sort(np.array([r[0] for r in terms.collect()], dtype=np.int64))
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, text, found) the starts whose words are those of the window."""
     for batch in slices(batches, "text"):
         words = _words(batch)
-        own = {n: batch.column(batch.schema.get_field_index(n)) for n in ("key", "found")}
-        rows = ([], [], [], [])
-        values: dict[int, np.ndarray] = {}
-        for i, (key, found) in enumerate(zip(own["key"].to_pylist(), own["found"].to_pylist(), strict=True)):
-            a, b = int(words.bounds[i]), int(words.bounds[i + 1])
-            for hit in found:
-                k, at = hit["size"], hit["start"]
-                if k not in values:
-                    values[k] = signed(words.windows(k))
-                if at < 0 or a + at + k > b or values[k][a + at] != hit["phrase"]:
-                    continue
-                for column, x in zip(rows, (key, at, k, hit["phrase"]), strict=True):
-                    column.append(x)
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in rows], names=["key", "start", "size", "phrase"])
+        found = batch.column(batch.schema.get_field_index("found"))
+        hits = found.flatten()
+        row = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+        start, size, phrase = (hits.field(i).to_numpy().astype(np.int64) for i in range(3))
+        at = words.bounds[row] + start
+        ok = (start >= 0) & (at + size <= words.bounds[row + 1])
+        for k in np.unique(size[ok]):
+            own = np.flatnonzero(ok & (size == k))
+            ok[own] = signed(words.windows(int(k)))[at[own]] == phrase[own]
+        key = batch.column(batch.schema.get_field_index("key")).to_numpy()[row[ok]]
+        yield pa.record_batch([pa.array(c) for c in (key, start[ok], size[ok], phrase[ok])], names=["key", "start", "size", "phrase"])
 
 
 class Index:
     """Postings of a training corpus (key, text) for the rarest terms of benchmark windows."""
 
-    def __init__(self, texts: DataFrame, items: DataFrame, window: int = WINDOW, most_terms: int = MOST_TERMS):
+    def __init__(self, texts: DataFrame, items: DataFrame, window: int = WINDOW, bits: int = BITS):
         tune(texts.sparkSession)
         named = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
         self.texts = texts
         self.windows = cut(named.mapInArrow(_item_windows(window), "item string, phrase long, terms array<long>"))
         phrases = self.windows.dropDuplicates(["phrase"]).select("phrase", "terms")
         places = phrases.select("phrase", F.posexplode("terms").alias("offset", "term"))
-        test_terms = places.select("term").distinct()
-        table = _bounded(test_terms, most_terms)
-        counts = texts.mapInArrow(_count_terms(table), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = texts.mapInArrow(_count_terms(_filter(places, bits), bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         # a window with a term that no text has can't occur
         known = cut(places.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))))
         order = F.array_sort(F.collect_list(F.struct("n", "offset", "term")))
         rare = known.groupBy("phrase").agg(order.alias("o"), F.count("*").cast("int").alias("size")).where("o[0].n > 0")
         second = F.coalesce(F.get("o", F.lit(1)), F.get("o", F.lit(0)))
         self.rare = cut(rare.select("phrase", "size", F.get("o", F.lit(0)).alias("r1"), second.alias("r2")))
-        used = self.rare.select(F.col("r1.term").alias("term")).union(self.rare.select("r2.term")).distinct()
-        table = _bounded(used, most_terms)
-        posted = texts.mapInArrow(_post(table), "term long, key long, at long")
-        if table is None:
-            posted = posted.join(used, "term", "left_semi").union(posted.where("term is null"))
-        self.posted = cut(posted)
+        used = self.rare.select(F.col("r1.term").alias("term")).union(self.rare.select("r2.term"))
+        self.posted = cut(texts.mapInArrow(_post(_filter(used, bits), bits), "term long, key long, at long"))
         self.postings = self.posted.where("term is not null")
         self.sizes = self.posted.where("term is null").select("key", F.col("at").alias("n_words"))
 
@@ -158,7 +153,7 @@ class Index:
         return self.postings.join(wanted, "term").select("key", "phrase", "size", (F.col("at") - F.col("offset")).alias("start"))
 
     def phrase_matches(self) -> DataFrame:
-        """(key, start, size, phrase): places whose words equal a window, word for word."""
+        """(key, start, size, phrase): places whose words are those of a window, by a hash of 64 bits."""
         both = self._shifted("r1").join(self._shifted("r2"), ["key", "phrase", "size", "start"]).distinct()
         found = cut(both.groupBy("key").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("found")))
         return narrowed(self.texts, found).join(found, "key").select("key", "text", "found").mapInArrow(_compare, "key long, start long, size long, phrase long")
@@ -174,9 +169,9 @@ class Index:
         return one.join(two.drop("size"), ["key", "phrase", "cell"]).where(near).select("key", "start", "phrase").distinct()
 
 
-def _contamination(texts: DataFrame, items: DataFrame, window: int, most_terms: int) -> DataFrame:
+def _contamination(texts: DataFrame, items: DataFrame, window: int, bits: int) -> DataFrame:
     """(key, n_words, n_hit, items, contaminated) of (key, text)."""
-    index = Index(texts, items, window, most_terms)
+    index = Index(texts, items, window, bits)
     matches = cut(index.phrase_matches())
     # words under at least one match: matches sorted by start, each counts what reaches beyond those before
     places = F.array_sort(F.collect_set(F.struct("start", F.col("size").alias("size"))))
@@ -198,18 +193,18 @@ def _contamination(texts: DataFrame, items: DataFrame, window: int, most_terms:
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_terms: int = MOST_TERMS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_hit (words inside matches), items (their ids, sorted), contaminated."""
     tune(docs.sparkSession)
     texts, keys = keyed(docs)
-    return restored(_contamination(texts, items, window, most_terms), keys)
+    return restored(_contamination(texts, items, window, bits), keys)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_terms: int = MOST_TERMS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, bits: int = BITS) -> DataFrame:
     """The rows of docs that aren't contaminated."""
     tune(docs.sparkSession)
     texts, keys = keyed(docs)
-    bad = _contamination(texts, items, window, most_terms).where("contaminated").select("key")
+    bad = _contamination(texts, items, window, bits).where("contaminated").select("key")
     return without(with_key(docs, keys), bad).select("row.*")
 
 
