@@ -1,18 +1,26 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney character n-gram model.
 
-The model is trained on all trusted text (every document whose labels all say
-quality 1), one per language.  N-grams are counted per slice of texts, then by
+The model is trained on trusted text (documents whose labels all say quality
+1), one per language; a fifth of the trusted documents, by a hash of their
+ids, is held out of it.  N-grams are counted per slice of texts, then by
 partial aggregation; lower orders count distinct continuations; count-of-count
 discounts, context sums and back-off weights come from joins that are sharded
 by n-gram and context.  The model's rows grow far slower than the trusted text.
 
-A document's perplexity is looked up n-gram by n-gram.  The model goes to the
-tasks while it has at most `most_rows` rows (16 bytes each); beyond it the
-documents' n-grams are joined with the sharded model instead.  Both give the
-same values.
+Documents meet the counts shard by shard.  A shard holds the models of some
+languages, or a part of one language's model, cut by the two characters in the
+middle of a 4-gram, which all rows of order 3 and 4 that the 4-gram needs share
+(orders 1 and 2 go to every part).  It has at most `most_rows` rows (16 bytes
+each) beside those of orders 1 and 2, and is sent to the tasks that read the
+documents of its languages; what a document's n-grams add up to in each part is
+summed by document.  So no row of a document is shuffled for a language whose
+model fits one shard, no n-gram is a join key and what is sent at once is bounded,
+whatever the size of the model: more shards mean more passes over the texts of
+their languages.
 
 A document is kept if its perplexity is at most `margin` times the quantile
-`level` of the trusted documents of its language.
+`level` of the held-out trusted documents of its language (of all its trusted
+ones, where none is held out).
 
 Defined results: null or blank text has no characters, perplexity null, and is
 not kept; shorter texts than MIN_CHARS are kept; where a language (null is one) has no trusted text, perplexity and
@@ -34,7 +42,8 @@ from legajo.llm.common import cut, narrowed, tune
 from legajo.llm.text import mix64, signed, slices, stream64
 
 ORDER = 4
-MOST_ROWS = 1 << 22
+MOST_ROWS = 1 << 21  # rows of one shard
+FOLDS = 5  # one of which is held out for the thresholds
 LEVEL, MARGIN = 0.995, 1.05
 MIN_CHARS = 40  # shorter texts aren't judged
 _BEGIN, _END = 1, 2
@@ -116,7 +125,10 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """grams (g, p): interpolated log probabilities; contexts (x, p): log back-off weights; languages (lang, x1, p)."""
+    """grams (lang, g, part, p): interpolated log probabilities; contexts (lang, x, part, p): log back-off weights.
+
+    part: hash of the two characters in the middle of the 4-grams that need the row; null for orders 1 and 2.
+    """
 
     def __init__(self, trusted: DataFrame):
         tune(trusted.sparkSession)
@@ -140,9 +152,9 @@ class Model:
 
     @staticmethod
     def _all(tables: list[DataFrame], key: str) -> DataFrame:
-        out = tables[0].select(key, "p")
+        out = tables[0].select("lang", key, "part", "p")
         for t in tables[1:]:
-            out = out.union(t.select(key, "p"))
+            out = out.union(t.select("lang", key, "part", "p"))
         return out
 
     @staticmethod
@@ -160,19 +172,20 @@ class Model:
         rows = rows.join(cuts, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.withColumn("d", d)
-        sums = rows.groupBy(f"x{n}").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        weights = sums.select(F.col(f"x{n}").alias("x"), F.log(F.col("mass") / F.col("total")).alias("p"))
-        rows = rows.join(sums, f"x{n}")
+        part = (F.col("x3") if n > 2 else F.lit(None).cast("long")).alias("part")
+        sums = rows.select("lang", f"x{n}", "n", "d", part).groupBy(f"x{n}").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"), F.first("lang").alias("lang"), F.first("part").alias("part"))
+        weights = sums.select("lang", F.col(f"x{n}").alias("x"), "part", F.log(F.col("mass") / F.col("total")).alias("p"))
+        rows = rows.join(sums.drop("lang", "part"), f"x{n}")
         own, back = (F.col("n") - F.col("d")) / F.col("total"), F.col("mass") / F.col("total")
         if below is None:
             under = 1 / (F.col("types") + 1)  # one more for a character not seen
         else:
             rows = rows.join(below.select(F.col("g").alias(f"g{n - 1}"), F.exp("p").alias("under")), f"g{n - 1}")
             under = F.col("under")
-        out = cut(rows.select(F.col(f"g{n}").alias("g"), F.log(own + back * under).alias("p")))
+        out = cut(rows.select("lang", F.col(f"g{n}").alias("g"), part, F.log(own + back * under).alias("p")))
         if n == 1:
             # the share of one unseen character
-            unseen = rows.select(F.col("x1").alias("x"), F.log(F.col("mass") / F.col("total") / (F.col("types") + 1)).alias("p")).distinct()
+            unseen = rows.select("lang", F.col("x1").alias("x"), part, F.log(F.col("mass") / F.col("total") / (F.col("types") + 1)).alias("p")).distinct()
             return out, cut(unseen)
         return out, cut(weights)
 
@@ -232,68 +245,92 @@ def _log_probabilities(points: np.ndarray, salt: np.ndarray, use: np.ndarray, gr
     return out
 
 
-_SCORED = "doc_id long, lang string, n_chars long, perplexity double"
+_SUMS = "doc_id long, lang string, mark long, n_chars long, s double"
+
 
+def _sum(tables, parts: int, part: int):
+    """The number of a text's characters, and the sum of the log probabilities of those whose 4-gram falls to the part."""
 
-def _score(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, contexts = (Lookup(k, v) for k, v in tables.value)
         for batch in slices(batches, "text", 1 << 20):
             langs, texts = _text(batch, "lang"), _text(batch, "text")
             points, owner, use = _points(texts)
-            salts = np.array([_salt(x) for x in langs], dtype=np.uint64)
-            p = _log_probabilities(points, salts[owner], use, grams, contexts)
+            salt = np.array([_salt(x) for x in langs], dtype=np.uint64)[owner]
             n = np.bincount(owner[use], minlength=len(texts))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                value = np.exp(-np.bincount(owner[use], weights=p, minlength=len(texts)) / n)
-            perplexity = pa.array(value, mask=~np.isfinite(value))
-            yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), pa.array(langs, pa.string()), pa.array(n.astype(np.int64)), perplexity], names=["doc_id", "lang", "n_chars", "perplexity"])
+            if parts > 1:
+                middle = np.append(np.zeros(1, dtype=np.uint64), _hashes(points, salt)[1][:-1])
+                use = use & (middle % np.uint64(parts) == part)
+            s = np.bincount(owner[use], weights=_log_probabilities(points, salt, use, grams, contexts), minlength=len(texts)).astype(np.float64)
+            rest = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "lang", "mark")]
+            yield pa.record_batch([*rest, pa.array(n.astype(np.int64)), pa.array(s)], names=["doc_id", "lang", "mark", "n_chars", "s"])
 
     return run
 
 
-def _pairs(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select(key, "p").toArrow()
+def _shards(model: Model, most_rows: int) -> list[tuple[list[str | None], int, int]]:
+    """(languages, number of parts, part) of each shard.  One row per language comes to the driver."""
+    rows = model.grams.select("lang", "part").unionAll(model.contexts.select("lang", "part")).groupBy("lang").agg(F.count("*").alias("n")).collect()
+    out, few, size = [], [], 0
+    for r in sorted(rows, key=lambda r: (r.lang is None, r.lang or "")):
+        if (parts := -(-r.n // most_rows)) > 1:
+            out += [([r.lang], parts, i) for i in range(parts)]
+        elif size + r.n > most_rows:
+            out.append((few, 1, 0))
+            few, size = [r.lang], r.n
+        else:
+            few, size = [*few, r.lang], size + r.n
+    return out + ([(few, 1, 0)] if few else [])
+
+
+def _pairs(df: DataFrame, key: str, langs: list[str | None], parts: int = 1, part: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a shard."""
+    own = df.where(_among(langs))
+    if parts > 1:
+        # the hashes are unsigned: the remainder is put together from that of both halves
+        high, low = F.shiftrightunsigned("part", 32), F.col("part").bitwiseAND(F.lit((1 << 32) - 1))
+        own = own.where(F.col("part").isNull() | ((high % parts * ((1 << 32) % parts) + low) % parts == part))
+    rows = own.select(key, "p").toArrow()
     return rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
 
 
-def _doc_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, g1..g4, x1..x4, n) of each document's distinct 4-grams."""
-    for batch in slices(batches, "text", 1 << 20):
-        row, langs = batch.column(batch.schema.get_field_index("row")).to_numpy(), _text(batch, "lang")
-        points, owner, use = _points(_text(batch, "text"))
-        salt = np.array([_salt(x) for x in langs], dtype=np.uint64)[owner]
-        g = _hashes(points, salt)
-        at = np.flatnonzero(use)
-        if not len(at):
-            continue
-        order = at[np.lexsort((g[3][at], owner[at]))]
-        new = np.append(True, (g[3][order][1:] != g[3][order][:-1]) | (owner[order][1:] != owner[order][:-1]))
-        n = np.diff(np.append(np.flatnonzero(new), len(order)))
-        at = order[new]
-        columns = [row[owner[at]], *[signed(g[k][at]) for k in range(4)], signed(mix64(_SIZE[0] + salt[at])), *[signed(g[k][at - 1]) for k in range(3)], n.astype(np.int64)]
-        yield pa.record_batch([pa.array(c) for c in columns], names=["row", "g1", "g2", "g3", "g4", "x1", "x2", "x3", "x4", "n"])
+def _among(langs: list[str | None]) -> Column:
+    named = F.coalesce(F.col("lang").isin([x for x in langs if x is not None]), F.lit(False))
+    return named | F.col("lang").isNull() if None in langs else named
 
 
 def perplexities(docs: DataFrame, model: Model, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, lang, n_chars and perplexity of each row of docs."""
     spark = tune(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    if model.grams.count() + model.contexts.count() <= most_rows:
-        tables = spark.sparkContext.broadcast((_pairs(model.grams, "g"), _pairs(model.contexts, "x")))
-        return own.mapInArrow(_score(tables), _SCORED)
-    own = cut(own.withColumn("row", F.monotonically_increasing_id()))
-    grams = own.where("text is not null").mapInArrow(_doc_grams, "row long, " + ", ".join(f"{k}{n} long" for k in "gx" for n in range(1, 5)) + ", n long")
-    for n in range(1, ORDER + 1):
-        grams = grams.join(model.grams.select(F.col("g").alias(f"g{n}"), F.col("p").alias(f"p{n}")), f"g{n}", "left")
-        grams = grams.join(model.contexts.select(F.col("x").alias(f"x{n}"), F.col("p").alias(f"b{n}")), f"x{n}", "left")
-    value = F.coalesce("p1", "b1")
-    for n in range(2, ORDER + 1):
-        value = F.coalesce(F.col(f"p{n}"), F.coalesce(f"b{n}", F.lit(0.0)) + value)
-    summed = grams.withColumn("v", value).groupBy("row").agg(F.sum("n").alias("n_chars"), F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.when(F.col("v").isNull(), 1).otherwise(0)).alias("gaps"))
-    out = own.drop("text").join(summed, "row", "left")
-    good = F.when(F.col("gaps") == 0, F.exp(-F.col("s") / F.col("n_chars")))
-    return out.select("doc_id", "lang", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), good.alias("perplexity"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"))
+    shards = _shards(model, most_rows)
+    known = sorted({x for langs, _, _ in shards for x in langs}, key=lambda x: (x is None, x or ""))
+    if all(parts > 1 for _, parts, _ in shards):
+        shards.append(([], 1, 0))
+    home = next(s for s in shards if s[1] == 1)  # languages without a model go along with the first shard that isn't a part
+    whole, pieces = [], []
+    for shard in shards:
+        langs, parts, part = shard
+        mine = _among(langs) | ~_among(known) if shard is home else _among(langs)
+        tables = spark.sparkContext.broadcast(tuple(_pairs(df, key, langs, parts, part) for df, key in ((model.grams, "g"), (model.contexts, "x"))))
+        rows = own.where(mine).mapInArrow(_sum(tables, parts, part), _SUMS)
+        if parts == 1:
+            whole.append(rows)
+        else:
+            same = rows.groupBy("doc_id", "lang", "mark").agg(F.first("n_chars").alias("n_chars"), F.first("s").alias("s"), F.count("*").alias("copies"))
+            pieces.append(cut(same))
+    if pieces:
+        # a part's rows of repeated documents are equal; they are summed over the parts once and repeated again
+        every = pieces[0]
+        for p in pieces[1:]:
+            every = every.union(p)
+        every = every.groupBy("doc_id", "lang", "mark").agg(F.first("n_chars").alias("n_chars"), F.sum("s").alias("s"), F.first("copies").cast("int").alias("copies"))
+        whole.append(every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "lang", "mark", "n_chars", "s"))
+    out = whole[0]
+    for rows in whole[1:]:
+        out = out.union(rows)
+    mean = F.col("s") / F.when(F.col("n_chars") > 0, F.col("n_chars"))
+    return out.select("doc_id", "lang", "n_chars", F.when(~F.isnan(mean), F.exp(-mean)).alias("perplexity"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -301,17 +338,24 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1 and doc_id is not null").select("doc_id")
 
 
+def held_out(doc_id: str) -> Column:
+    """True for the documents that the model doesn't see."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
+
+
 def classify(docs: DataFrame, labels: DataFrame, level: float = LEVEL, margin: float = MARGIN, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept of each row of docs."""
     tune(docs.sparkSession)
-    trusted = cut(trusted_ids(labels))
+    trusted = cut(trusted_ids(labels).select(F.col("doc_id").cast("long").alias("doc_id")))
     texts = docs.select(F.col("doc_id").cast("long").alias("key"), "lang", "text")
     # a Bloom filter of fixed size first; then texts move for one join, whatever the number of labels
-    ids = trusted.select(F.col("doc_id").cast("long").alias("key"))
+    ids = trusted.where(~held_out("doc_id")).select(F.col("doc_id").alias("key"))
     model = Model(narrowed(texts, ids).join(ids.hint("merge"), "key", "left_semi"))
     scored = cut(perplexities(docs, model, most_rows))
     bound = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
-    bound = bound.groupBy("lang").agg((F.percentile_approx("perplexity", level, 10_000) * margin).alias("threshold"))
+    quantile = lambda x: F.percentile_approx(x, level, 10_000)
+    unseen = quantile(F.when(held_out("doc_id"), F.col("perplexity")))
+    bound = bound.groupBy("lang").agg((F.coalesce(unseen, quantile("perplexity")) * margin).alias("threshold"))
     out = scored.join(cut(bound).withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     good = (F.col("n_chars") < MIN_CHARS) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     kept = (F.col("n_chars") > 0) & good
