@@ -136,3 +136,95 @@ def mix(docs, seed="mix-1", **options):
             for i in rows:
                 out[i] = whole + (unit in picked)
     return {i: out.get(i, 0) for i in range(len(docs))}
+
+
+def kneser_ney(trusted, order=4):
+    """A function text -> perplexity, from the trusted texts of one language."""
+    from collections import defaultdict
+    from math import exp, log
+
+    def marked(text):
+        body = " ".join((text or "").split())
+        return "\1" * (order - 1) + body + "\2" if body else ""
+
+    counts = {order: defaultdict(int)}
+    for text in trusted:
+        t = marked(text)
+        for i in range(order - 1, len(t)):
+            counts[order][t[i - order + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = defaultdict(int)
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] += 1
+    discount, total, mass = {}, defaultdict(int), defaultdict(float)
+    for n, own in counts.items():
+        of = [sum(v == k for v in own.values()) for k in range(1, 5)]
+        y = of[0] / (of[0] + 2 * of[1]) if of[0] + of[1] else None
+        for k in (1, 2, 3):
+            d = k - (k + 1) * y * of[k] / of[k - 1] if y is not None and of[k - 1] else None
+            discount[n, k] = d if d is not None and 0 < d < k else k / 2
+        for gram, v in own.items():
+            total[n, gram[:-1]] += v
+            mass[n, gram[:-1]] += discount[n, min(v, 3)]
+
+    def p(context, c):
+        n = len(context) + 1
+        below = p(context[1:], c) if context else 1 / (len(counts[1]) + 1)
+        if (n, context) not in total:
+            return below
+        v = counts[n].get(context + c, 0)
+        own = max(v - discount[n, min(v, 3)], 0.0) if v else 0.0
+        return (own + mass[n, context] * below) / total[n, context]
+
+    def perplexity(text):
+        t = marked(text)
+        logs = [log(p(t[i - order + 1 : i], t[i])) for i in range(order - 1, len(t))]
+        return exp(-sum(logs) / len(logs)) if logs else None
+
+    return perplexity
+
+
+def _mixed(x):
+    mask = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+    return x ^ x >> 31
+
+
+def gram_code(gram):
+    """The number by which n-grams of equal count are ranked: of one letter, of a pair, of three (a blank is code point 0)."""
+    points = [0 if c == " " else ord(c) for c in gram]
+    if len(points) == 1:
+        value = points[0] | 1 << 63
+    elif len(points) == 2:
+        value = points[0] << 21 | points[1]
+    else:
+        value = (points[0] << 42 | points[1] << 21 | points[2]) ^ 3 << 61
+    return _mixed(value) & (1 << 44) - 1
+
+
+def ranked_grams(texts, most):
+    """The n-grams of the texts, most frequent first."""
+    from collections import Counter
+
+    seen = Counter()
+    for text in texts:
+        for word in "".join(c.lower() if c.isalpha() else " " for c in text or "").split():
+            w = f" {word} "
+            for i in range(1, len(w) - 1):
+                seen.update([w[i], w[i : i + 2], w[i - 1 : i + 2]])
+    return sorted(seen, key=lambda g: (-seen[g], gram_code(g)))[:most]
+
+
+def language(docs, text, size=400, top=300):
+    """docs: (text, lang) -> (language, score) of text."""
+    names = sorted({x for t, x in docs if x is not None and ranked_grams([t], 1)})
+    own = ranked_grams([text], top)
+    if not own or not names:
+        return "und", 0.0
+    off = {}
+    for name in names:
+        place = {g: i for i, g in enumerate(ranked_grams([t for t, x in docs if x == name], size))}
+        off[name] = sum(min(abs(i - place[g]), size) if g in place else size for i, g in enumerate(own))
+    best = min(names, key=lambda x: (off[x], x))
+    return best, 1 - off[best] / (len(own) * size)

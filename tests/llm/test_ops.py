@@ -89,11 +89,11 @@ def test_slices_cover_all_rows():
 # --- op1 ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("most_terms", [1 << 20, 5])
-def test_decontaminate(spark, plain, most_terms):
+@pytest.mark.parametrize("bits", [24, 7])
+def test_decontaminate(spark, plain, bits):
     items = [(1, PASSAGE), (2, "one"), (2, "one"), (3, None), (4, "zzz unseen"), (10, "a b C"), (None, "other")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(plain, bench, most_terms=most_terms).collect()
+    got = decontaminate.contamination(plain, bench, bits=bits).collect()
     want = brute.decontaminate(_pairs(plain), [x for x in items if x[0] is not None])
     hit = {r.doc_id: (r.n_words, len(r["items"]), brute.sha(",".join(r["items"])), r.contaminated) for r in got}
     assert {k: (v[0], v[2], v[3]) for k, v in want.items()} == {k: v[:3] for k, v in hit.items()}
@@ -124,6 +124,15 @@ def test_proximity(spark):
     assert {r.key for r in index.proximity_matches(2).collect()} == {1, 2}
 
 
+def test_decontaminate_long_text(spark):
+    """One text over the 2 MB of a slice, another of a single word as long."""
+    long = " ".join(f"w{i % 90_000}" for i in range(400_000))
+    docs = _docs(spark, range(3), [long + " " + PASSAGE + " tail", "q" * 3_000_000, PASSAGE])
+    items = [(1, PASSAGE), (2, "q" * 3_000_000), (3, " ".join(f"w{i}" for i in range(5, 20)))]
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), brute.sha(",".join(r["items"])), r.contaminated) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute.decontaminate(_pairs(docs), items)
+
+
 # --- op2 ---------------------------------------------------------------------
 
 
@@ -153,6 +162,41 @@ def test_chat_digests(spark):
     assert chat_format.read_back(chat_format.format_conversations(turns.where("false"))).count() == 0
 
 
+def test_chat_content(spark):
+    """All kinds of parts through Spark and back, without a column of texts."""
+    parts = [("text", "a <|image|> b", None, None), ("image", None, "s3://i", 9), ("text", "c", None, None), ("text", "d", None, None), ("audio", None, "s3://a", 4), ("document", None, "s3://d", 70)]
+    kind = "array<struct<type:string,text:string,ref:string,tokens:int>>"
+    turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [("text", "</s>", None, None)]), (2, 0, "user", [])], f"conv_id long, turn long, role string, content {kind}")
+    made = chat_format.format_conversations(turns)
+    rows = {(r.conv_id, r.turn): r for r in made.collect()}
+    assert rows[1, 0].n_expanded == 83 and [(a.kind, a.ref, a.tokens) for a in rows[1, 0].attachments] == [("image", "s3://i", 9), ("audio", "s3://a", 4), ("document", "s3://d", 70)]
+    back = {(r.conv_id, r.turn): (r.role, [tuple(p) for p in r.content]) for r in chat_format.read_parts(made).collect()}
+    assert back[1, 0] == ("user", [("text", "a <|image|> b", "", 0), ("image", "", "s3://i", 9), ("text", "cd", "", 0), ("audio", "", "s3://a", 4), ("document", "", "s3://d", 70)])
+    assert back[1, 1] == ("assistant", [("text", "</s>", "", 0)]) and back[2, 0] == ("user", [("text", "", "", 0)])
+    digests = {r.conv_id: r for r in chat_format.read_back(made).collect()}
+    assert digests[1].n_turns == 2 and digests[1].loss_sha256 == brute.sha("</s>")
+    both = turns.where("conv_id = 1").withColumn("text", F.lit("unused")).unionByName(spark.createDataFrame([(3, 0, "user", None, "t")], f"conv_id long, turn long, role string, content {kind}, text string"))
+    assert chat_format.read_parts(chat_format.format_conversations(both).where("conv_id = 3")).first().content[0].text == "t"
+    with pytest.raises(ValueError):
+        chat_format.format_conversations(turns.drop("content"))
+
+
+def test_chat_reader_rejects_what_is_no_turn():
+    body, _, attached = chat_format.format_turn("user", [chat_format.Part("image", ref="r", tokens=3)])
+    ((_, (part,)),) = chat_format.parse(body, [(r, n) for _, r, n, _ in attached])
+    assert (part.ref, part.tokens) == ("r", 3)
+    for bad, given in ((body + "x", None), ("x" + body, None), (body[:-1], None), (body + "x" + body, None), (body, []), (body, [("r", 3)] * 2)):
+        with pytest.raises(ValueError):
+            chat_format.parse(bad, given)
+
+
+def test_chat_long_conversation(spark):
+    turns = spark.range(5000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" <s> ")), 100).alias("text"))
+    (r,) = chat_format.read_back(chat_format.format_conversations(turns)).collect()
+    own = [(("user", "assistant")[i % 2], f"{i} <s> " * 100) for i in range(5000)]
+    assert r.n_turns == 5000 and r.turns_sha256 == brute.sha("".join(f"{a}\n{b}\n" for a, b in own)) and r.loss_sha256 == brute.sha("".join(b for a, b in own if a == "assistant"))
+
+
 # --- op3 ---------------------------------------------------------------------
 
 
@@ -301,10 +345,27 @@ def test_language_edges(spark, odd, empty, plain):
     assert all(0 <= r.score <= 1 for r in got) and len(got) == len(TEXTS)
     assert language_id.identify(odd, learned).count() == odd.count()
     assert language_id.identify(empty, learned).count() == 0
+    many = language_id.identify(plain, language_id.learn(plain.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string"))), group=2))
+    one = language_id.identify(plain, language_id.learn(plain.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))))
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
     nothing = language_id.learn(empty)
     assert {r.lang_pred for r in language_id.identify(plain, nothing).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark, real):
+    """Ranks, distances and their ties, with profiles small enough that n-grams fall off their ends."""
+    rows = real.orderBy("doc_id").limit(40).select("doc_id", "text", "lang").collect()
+    train = [(r.text, r.lang) for r in rows[:20]] + [("ab ab ab", "tie1"), ("ab ab ab", "tie0"), ("123", "none")]
+    tests = [r.text for r in rows[20:]] + ["ab ab", "", None, "12", "zq", "é" * 2_100_000 + " the of"]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(train)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
+    for size, top, group in ((400, 300, 1000), (30, 20, 3)):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(asked, language_id.learn(docs, size, group), top).collect()}
+        for i, text in enumerate(tests):
+            lang, score = brute.language(train, text, size, top)
+            assert got[i] == (lang, pytest.approx(score)), (i, size)
+
+
 # --- op6 ---------------------------------------------------------------------
 
 
@@ -319,6 +380,19 @@ def test_token_splices():
             assert [i for part in token_counts.spliced(tokenizer, t, chunk, overlap) for i in part] == want
 
 
+def test_token_splices_without_boundary():
+    """Text without any boundary costs a small multiple of one encoding."""
+    import time
+
+    tokenizer = token_counts._tokenizer(token_counts.tokenizer_path())
+    text = "ab" * 500_000 + " and a tail " * 3000
+    began = time.perf_counter()
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    middle = time.perf_counter()
+    assert [i for part in token_counts.spliced(tokenizer, text) for i in part] == want
+    assert time.perf_counter() - middle < 20 * (middle - began) + 2
+
+
 def test_token_counts(plain, odd, empty):
     tokenizer = token_counts._tokenizer(token_counts.tokenizer_path())
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.token_counts(plain, huge=1000, chunk=512, overlap=64).collect()}
@@ -329,19 +403,27 @@ def test_token_counts(plain, odd, empty):
 # --- op7 ---------------------------------------------------------------------
 
 
-def test_perplexity_paths_agree(spark, real):
-    labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    model = perplexity.Model(real.join(perplexity.trusted_ids(labels), "doc_id", "left_semi"))
-    one = {r.doc_id: r.perplexity for r in perplexity.perplexities(real, model).collect()}
-    two = {r.doc_id: r.perplexity for r in perplexity.perplexities(real, model, most_rows=1).collect()}
-    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+def test_perplexity_by_brute_force(spark, real):
+    """Twenty texts, with the model in one shard, in several, and with languages in parts."""
+    rows = real.where("n_chars between 100 and 4000").orderBy("doc_id").limit(24).select("doc_id", "lang", "text").collect()
+    train, asked = rows[:12], rows[4:] + [(900, None, "no model here"), (901, "xx", "none either"), (902, rows[0].lang, None), (903, rows[0].lang, " \n"), (904, rows[0].lang, "漢字"), (904, rows[0].lang, "漢字")]
+    docs = spark.createDataFrame([tuple(r) for r in asked], "doc_id long, lang string, text string")
+    model = perplexity.Model(spark.createDataFrame([tuple(r) for r in train], "doc_id long, lang string, text string"))
+    models = {x: brute.kneser_ney([r.text for r in train if r.lang == x]) for x in {r.lang for r in train}}
+    want = sorted((d, models[x](t) if x in models else None) for d, x, t in map(tuple, asked))
+    most = model.grams.count() + model.contexts.count()
+    for rows_in_shard in (1 << 21, most // 7):
+        got = sorted((r.doc_id, r.perplexity) for r in perplexity.perplexities(docs, model, rows_in_shard).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert all(g[1] == (pytest.approx(w[1]) if w[1] is not None else None) for g, w in zip(got, want, strict=True))
+    assert len(perplexity._shards(model, most // 7)) > 7
 
 
 def test_perplexity_sums_to_one(spark):
     """The probabilities of what may follow a known context add up to one, an unseen character included."""
     docs = spark.createDataFrame([(1, "en", "abab abc abd bca"), (2, "en", "cab bab ab ab")], "doc_id long, lang string, text string")
     model = perplexity.Model(docs)
-    grams, contexts = (perplexity.Lookup(*perplexity._pairs(df, k)) for df, k in ((model.grams, "g"), (model.contexts, "x")))
+    grams, contexts = (perplexity.Lookup(*perplexity._pairs(df, k, ["en"])) for df, k in ((model.grams, "g"), (model.contexts, "x")))
     alphabet = [ord(c) for c in "abcd \2"] + [ord("z")]
     salt = perplexity._salt("en")
     for context in ("\1\1\1", "aba", "b a", "zza"):
@@ -361,6 +443,17 @@ def test_perplexity_edges(spark, plain, odd, empty):
     assert perplexity.classify(empty, labels).count() == 0
 
 
+def test_perplexity_thresholds_are_those_of_unseen_texts(spark, real):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = perplexity.classify(real, labels).collect()
+    trusted = {r.doc_id for r in perplexity.trusted_ids(labels).collect()}
+    for lang in {r.lang for r in rows}:
+        every = [(r.doc_id, r.perplexity) for r in rows if r.lang == lang and r.doc_id in trusted and r.perplexity]
+        own = sorted([p for d, p in every if zlib.crc32(str(d).encode()) % 5 == 0] or [p for _, p in every])
+        (bound,) = {r.threshold for r in rows if r.lang == lang}
+        assert own and bound == pytest.approx(perplexity.MARGIN * own[int(np.ceil(perplexity.LEVEL * len(own))) - 1])
+
+
 def test_perplexity_separates(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
