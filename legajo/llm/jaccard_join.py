@@ -15,14 +15,22 @@ other words only.
 
 No group of equal words is expanded into pairs.  Each group links its members
 to its least member; pairs that denser parity sketches don't rule out are
-verified on the texts, and links make components.  What is left are pairs of one group that lie in different
-components.  They meet on the rarer groups only: with all groups in one order,
+verified on the texts, and links make components.  What is left are pairs of one
+group that lie in different components.  They meet on the rarer groups only: with all groups in one order,
 by size, each set leaves out its last `spare` ones, and a linked pair still
 shares one of the others (prefix filtering), so what a passage common to very
-many documents makes equal falls away.  Those that meet are compared in blocks
-by denser parity sketches, whose Hamming distance bounds the difference more
-tightly; only pairs whose distance, sizes and number of shared words allow a
-link become rows, and their texts are compared.  No
+many documents makes equal falls away.
+
+Groups of few members compare them by denser parity sketches, whose Hamming distance
+bounds the difference more tightly; only pairs whose distance, sizes and
+number of shared words allow a link become rows.  The members of larger groups,
+a template of which thousands of documents differ in a few words, meet on their
+rarest shingles instead: with all shingles in one order, by the number of these
+members that have them, linked sets share one among the first of both, and of
+the smaller set even fewer come into question (positional prefix filtering).
+What all members share is last in that order, so such documents make no pairs
+unless they share something rare as well; dense sketches then sift the pairs.
+At last the texts of what is left are compared.  No
 link between different texts that could join two components is lost.  Equal
 sets are one node from the start.
 
@@ -30,7 +38,8 @@ Defined results: a null, blank or empty text has an empty set and is its own
 component; texts of fewer words than a shingle have one shingle, the whole
 sequence.  Null or repeated doc_ids as in common.keyed; the component id is the
 least doc_id (null sorts last).  Set elements and whole sets are told apart by
-64-bit hashes.
+64-bit hashes.  An empty table gives no rows; further columns are ignored, or
+carried along by keep_one.
 """
 
 from __future__ import annotations
@@ -44,14 +53,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.llm.common import cut, keyed, restored, tune, with_key
+from legajo.llm.common import cut, keyed, narrowed, restored, tune, with_key
 from legajo.llm.components import components
-from legajo.llm.text import SPACE, Words, mix64, signed, slices, window_hash
+from legajo.llm.text import SPACE, Words, mix64, signed, slices, spans, window_hash
 
 _META, _WORD, _STAR = 0, 1, 2
 _SPARE = 63  # words left out at most (six bits)
-_BLOCK = 2048  # members of one group that are compared in one task
-_CROWD = 5000  # pairs of one centre that are verified in one group
+_FEW = 128  # members of a group that are compared with each other
+_CROWD = 128  # pairs of one centre that are verified in one group
 
 
 @dataclass(frozen=True)
@@ -250,16 +259,16 @@ def _likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int, by: Bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for na, nb, sa, sb in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
-                apart = int(np.bitwise_count(np.frombuffer(sa, dtype=np.uint64) ^ np.frombuffer(sb, dtype=np.uint64)).sum())
-                keep.append(apart * (den + num) <= (na + nb) * (den - num))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            na, nb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("na", "nb"))
+            (sa, off), (sb, _) = (spans(batch.column(batch.schema.get_field_index(c))) for c in ("sa", "sb"))
+            apart = np.concatenate([[0], np.cumsum(np.bitwise_count(sa ^ sb), dtype=np.int64)])
+            apart = apart[off[1:]] - apart[off[:-1]]
+            yield batch.select(["a", "b"]).filter(pa.array(apart * (den + num) <= (na + nb) * (den - num)))
 
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, sketches: DataFrame, num: int, den: int, by: Bands) -> DataFrame:
+def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, sketches: DataFrame, bodies: DataFrame, n: int, num: int, den: int, by: Bands) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a group and may be linked."""
     groups = stars.groupBy("bucket").agg(F.count("*").alias("size"), F.min("a").alias("node"))
     member = stars.select("bucket", F.col("b").alias("node")).union(groups.select("bucket", "node")).distinct()
@@ -268,20 +277,53 @@ def _still_apart(stars: DataFrame, roots: DataFrame, meta: DataFrame, sketches:
     last = Window.partitionBy("node", F.expr("bucket & 64")).orderBy(F.col("size").desc(), "bucket")
     member = member.withColumn("k", F.row_number().over(last)).where(F.col("k") > F.expr("bucket & 63")).select("bucket", "node")
     member = cut(_joined(member, "node", roots))
-    mixed = member.groupBy("bucket").agg(F.min("node_root").alias("r"), F.max("node_root").alias("s")).where("r <> s").select("bucket")
+    mixed = member.groupBy("bucket").agg(F.min("node_root").alias("r"), F.max("node_root").alias("s"), F.count("*").alias("members")).where("r <> s").select("bucket", "members")
     sizes = meta.groupBy("node").agg(F.first("n").alias("n"))
-    side = cut(member.join(mixed, "bucket").join(sizes, "node"))
-    # the members of a group meet in blocks, with denser sketches of their sets
-    side = side.withColumn("odd", F.expr("cast(shiftright(bucket & 64, 6) as int)"))
-    groups = side.groupBy("node", "odd").agg(F.sort_array(F.collect_list("bucket")).alias("groups"))  # at most as many as a sketch has words
-    dense = sketches.select("node", "odd", "sketch").join(groups, ["node", "odd"])
-    crowd = side.groupBy("bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
-    side = side.join(crowd, "bucket").join(dense, ["node", "odd"])
-    side = side.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    side = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = side.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "node_root", "n", "sketch", "groups")
-    side = side.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return side.mapInArrow(_compare(num, den, by), "a long, b long")
+    side = member.join(mixed, "bucket").join(sizes, "node")
+    side = cut(side.withColumn("odd", F.expr("cast(shiftright(bucket & 64, 6) as int)")))
+    lists = side.groupBy("node", "odd").agg(F.sort_array(F.collect_list("bucket")).alias("groups"))  # at most as many as a sketch has words
+    dense = sketches.select("node", "odd", "sketch").join(lists, ["node", "odd"])
+    few = side.where(F.col("members") <= _FEW).join(dense, ["node", "odd"]).select("bucket", "node", "node_root", "n", "sketch", "groups")
+    pairs = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(num, den, by), "a long, b long")
+    crowd = side.where(F.col("members") > _FEW).select("node", "odd", "node_root").distinct()
+    if not crowd.isEmpty():
+        met = cut(_by_rare_shingles(cut(crowd), bodies, n, num, den, by))
+        pairs = pairs.union(_likely(met, sketches, num, den, by))
+    return pairs.distinct()
+
+
+def _by_rare_shingles(crowd: DataFrame, bodies: DataFrame, n: int, num: int, den: int, by: Bands) -> DataFrame:
+    """Pairs (a, b) of crowd (node, odd, node_root) that share a rare shingle and whose sizes and its places allow a link."""
+    own = narrowed(bodies.withColumnRenamed("node", "key"), crowd.select(F.col("node").alias("key")))
+    rows = cut(own.mapInArrow(_shingles(n), "node long, n long, token long"))
+    # shingles that one set alone has come first; they make no pairs
+    known = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("node").orderBy("df", "token")
+    rows = rows.join(known, "token").withColumn("place", F.col("n") - F.count("*").over(Window.partitionBy("node")) + F.row_number().over(order) - 1)
+    rows = rows.where(f"place <= n - ({num} * n + {den - 1}) div {den}").select("node", "n", "token", "place")
+    rows = cut(rows.join(crowd, "node"))
+    names = rows.columns
+    first = rows.where(f"place <= n - ({2 * num} * n + {num + den - 1}) div {num + den}").select(*[F.col(c).alias(f"{c}_a") for c in names])
+    second = rows.select(*[F.col(c).alias(f"{c}_b") for c in names])
+    met = (F.col("odd_a") == F.col("odd_b")) & (F.col("token_a") == F.col("token_b")) & (F.col("node_root_a") != F.col("node_root_b"))
+    met &= (F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & (F.col("n_a") * den >= F.col("n_b") * num)
+    # what both have from this shingle on suffices
+    met &= F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    pairs = first.join(second, met).where(_band(F.col("n_a"), by) % 2 == F.col("odd_a"))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _shingles(n: int):
+    """(node, size, shingle) of each shingle of (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(Words(batch.column(batch.schema.get_field_index("text")), SPACE, lower=True), n)
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            node = batch.column(batch.schema.get_field_index("key")).to_numpy()
+            yield pa.record_batch([pa.array(np.repeat(x, size)) for x in (node, size)] + [pa.array(signed(np.concatenate(sets)))], names=["node", "n", "token"])
+
+    return run
 
 
 def _dense(n: int, by: Bands):
@@ -305,26 +347,23 @@ def _dense(n: int, by: Bands):
 
 
 def _compare(num: int, den: int, by: Bands):
-    """Rows sorted by (bucket, i, j): pairs of different components that may be linked.
+    """Rows sorted by bucket: pairs of different components that may be linked.
 
     Sizes, the dense sketches and the number of shared groups must allow it; a
-    pair comes from the first group that both have, so it comes once.
+    pair comes from the first group that both have.
     """
     sure = np.array(by.words) - np.array(by.blank) - np.array(by.spare)
 
-    def pairs(bucket, i, j, rows):
-        own, node, root, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-        sketch = np.stack([np.frombuffer(r[4], dtype=np.uint64) for r in rows])
-        lists = [np.array(r[5], dtype=np.int64) for r in rows]
+    def pairs(bucket, rows):
+        node, root, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        sketch = np.stack([np.frombuffer(r[3], dtype=np.uint64) for r in rows])
+        lists = [np.array(r[4], dtype=np.int64) for r in rows]
         for x in range(len(rows) - 1):
             rest = slice(x + 1, None)
             small, large = np.minimum(n[x], n[rest]), np.maximum(n[x], n[rest])
             band = np.searchsorted(by.low, small, side="right") - 1
             # groups are counted in the band of the smaller set alone
-            ok = (root[rest] != root[x]) & (small * den >= large * num) & (band % 2 == (bucket & 64) >> 6)
-            if i != j:
-                ok &= own[rest] != own[x]
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero((root[rest] != root[x]) & (small * den >= large * num) & (band % 2 == (bucket & 64) >> 6))
             if not len(at):
                 continue
             apart = np.bitwise_count(sketch[at + x + 1] ^ sketch[x]).sum(axis=1, dtype=np.int64)
@@ -341,13 +380,13 @@ def _compare(num: int, den: int, by: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for *key, own, node, root, n, sketch, groups in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
-                    if len(rows) > 1 and (found := list(pairs(*now, rows))):
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    if len(rows) > 1 and (found := list(pairs(now, rows))):
                         yield batch_of(found)
-                    now, rows = key, []
-                rows.append((own, node, root, n, sketch, groups))
-        if len(rows) > 1 and (found := list(pairs(*now, rows))):
+                    now, rows = bucket, []
+                rows.append(row)
+        if len(rows) > 1 and (found := list(pairs(now, rows))):
             yield batch_of(found)
 
     return run
@@ -374,7 +413,7 @@ def _classes(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     links = cut(_links(cut(_likely(tested, sketches, num, den, by)), bodies, n, num, den))
     roots = cut(components(links))
 
-    left = cut(_still_apart(stars, roots, meta, sketches, num, den, by).join(tested, ["a", "b"], "left_anti"))
+    left = cut(_still_apart(stars, roots, meta, sketches, bodies, n, num, den, by).join(tested, ["a", "b"], "left_anti"))
     if not left.isEmpty():
         links = links.union(cut(_links(left, bodies, n, num, den)))
         roots = cut(components(links))

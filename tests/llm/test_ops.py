@@ -259,10 +259,10 @@ def test_jaccard(spark, n, num):
     assert got == brute.jaccard(_pairs(docs), n, num)
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_jaccard_near_the_threshold(spark, monkeypatch, block):
+@pytest.mark.parametrize("few", [128, 2])
+def test_jaccard_near_the_threshold(spark, monkeypatch, few):
     """Copies of one text whose mutual similarity lies on both sides of the threshold."""
-    monkeypatch.setattr(jaccard_join, "_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "_FEW", few)
     rng = random.Random(11)
     words = [f"t{i}" for i in range(3000)]
     base, texts = [rng.choice(words) for _ in range(150)], []
@@ -277,6 +277,42 @@ def test_jaccard_near_the_threshold(spark, monkeypatch, block):
     assert 1 < len({c for _, c in got.values()}) < 60
 
 
+@pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
+def test_jaccard_by_rare_shingles(spark, monkeypatch, n, num):
+    """Families around the threshold, all groups of which count as large."""
+    monkeypatch.setattr(jaccard_join, "_FEW", 2)
+    rng = random.Random(12)
+    words = [f"t{i}" for i in range(300)]
+    texts = []
+    for size in (30, 60, 61, 90, 200):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randint(1, 1 + size // 40)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            at = rng.randint(0, size // 25)
+            texts.append(" ".join(own[at:] if rng.random() < 0.5 else own[: len(own) - at]))
+    docs = _docs(spark, range(len(texts)), texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(docs, n, num).collect()}
+    assert got == brute.jaccard(_pairs(docs), n, num)
+    assert 10 < len({c for _, c in got.values()}) < len(texts) - 10
+
+
+def test_jaccard_template_makes_no_pairs(spark, monkeypatch):
+    """Documents that share 60 words and differ in 6, at 0.826 all of them, are not compared with each other."""
+    texts = [" ".join([f"c{i}" for i in range(60)] + [f"d{k}x{i}" for i in range(6)]) for k in range(600)]
+    seen = []
+    before = jaccard_join._links
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return before(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_links", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_components(_docs(spark, range(len(texts)), texts)).collect()}
+    assert got == {i: i for i in range(600)} and sum(seen) <= 600 * 17
+
+
 def test_jaccard_real(spark, real):
     got = {r[0]: tuple(r)[1:] for r in jaccard_join.op4_jaccard_join(spark, DATA).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == brute.jaccard(_pairs(real))
