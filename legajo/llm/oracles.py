@@ -72,26 +72,30 @@ SELECT d.doc_id, coalesce(n, 0) n_words, coalesce(g, 0) n_removed, sha256(coales
 """
 
 OP10 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS BIGINT) size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) tx, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS BIGINT) size FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, tx) - 1 k, greatest(1, CAST(floor(sqrt(size::DOUBLE) * 1024) AS BIGINT)) w FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM d GROUP BY source),
-w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 sid FROM s),
-v AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END weight, 2 * source_size cap FROM w),
+o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 sid FROM s),
+v AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END weight, 2 * source_size cap FROM o),
 f AS (SELECT *, (sum(source_size) OVER () * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM v),
 g AS (SELECT level FROM f WHERE level * weight <= cap ORDER BY cap / weight, sid LIMIT 1),
 t AS (SELECT source, sid, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM g) * weight, cap::DOUBLE)) target FROM f),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END ratio FROM t),
-p AS (SELECT *, floor(ratio) whole, ratio - floor(ratio) share, target - floor(ratio) * source_size rest FROM r),
-u AS (SELECT d.*, p.* EXCLUDE (source), (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 x
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-q AS (SELECT *, (x / (1 - x)) / CASE WHEN share > 0 THEN share / (1 - share) ELSE 1 END pareto FROM u),
-c AS (SELECT *, sum(size) OVER (PARTITION BY sid ORDER BY pareto, doc_id, size) run FROM q),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END whole, target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size rest FROM t),
+h AS (SELECT sid, rest, w, sum(size) words, sum(size * w) mass FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source WHERE size > 0 GROUP BY sid, rest, w),
+i AS (SELECT sid, w, (rest - coalesce(sum(words) OVER (PARTITION BY sid ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(mass) OVER (PARTITION BY sid ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE c FROM h),
+l AS (SELECT sid, arg_max(c, w) c FROM i WHERE c * w < 1 GROUP BY sid),
+u AS (SELECT n.*, p.* EXCLUDE (source), (CAST('0x' || substr(md5('mix-2:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || tx || ':' || k), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 x,
+    least(1.0, w * coalesce(c, 1.0)) pi FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source LEFT JOIN l USING (sid)),
+q AS (SELECT *, CASE WHEN pi >= 1 THEN 0.0 WHEN pi > 0 THEN (x / (1 - x)) * ((1 - pi) / pi) ELSE x / (1 - x) END pareto FROM u),
+c AS (SELECT *, sum(size) OVER (PARTITION BY sid ORDER BY pareto, doc_id, tx, k ROWS UNBOUNDED PRECEDING) run FROM q),
 had AS (SELECT sid, coalesce(max(CASE WHEN run <= rest AND size > 0 THEN run END), 0) had FROM c GROUP BY sid),
-more AS (SELECT c.sid, doc_id FROM c JOIN had USING (sid) WHERE run > rest AND size > 0 AND abs(rest - had - size) < rest - had
-  QUALIFY row_number() OVER (PARTITION BY c.sid ORDER BY abs(rest - had - size), pareto, doc_id) = 1)
+more AS (SELECT c.sid, doc_id, tx, k FROM c JOIN had USING (sid) WHERE run > rest AND size > 0 AND abs(rest - had - size) < rest - had
+  QUALIFY row_number() OVER (PARTITION BY c.sid ORDER BY abs(rest - had - size), pareto, doc_id, tx, k) = 1)
 SELECT c.doc_id, size, source_size, target,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN run <= rest OR more.doc_id IS NOT NULL THEN 1 ELSE 0 END) END AS BIGINT) taken
-FROM c LEFT JOIN more ON more.sid = c.sid AND more.doc_id = c.doc_id
+  CAST(CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN run <= rest OR more.tx IS NOT NULL THEN 1 ELSE 0 END) END AS BIGINT) taken
+FROM c LEFT JOIN more ON more.sid = c.sid AND more.doc_id IS NOT DISTINCT FROM c.doc_id AND more.tx = c.tx AND more.k = c.k
 """
 
 
