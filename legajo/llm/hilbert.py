@@ -6,8 +6,11 @@ that grid and the order is cut into runs.  Points near each other on the curve
 are near in every dimension, so the minimum and maximum of each column in a
 shard span little, and a filter on any of the columns prunes shards.
 
-Numbers are cut at approximate quantiles (so hot ranges get more cells);
-strings by the leading bits of their CRC, which keeps equal values together.
+Numbers are cut at approximate quantiles (so hot ranges get more cells), strings
+at the quantiles of their sorted order: a cell is a range of values, as wide as
+its share of the rows allows, and a value with very many rows has a cell of its
+own.  Distinct strings are counted and added up over range partitions, so neither
+a hot value nor very many of them meet in one task.
 
 Law `rows`: shard k of S holds the ranks from ceil(k N / S) on, so counts
 differ by one at most, whatever the skew; ties on the curve are ordered by
@@ -20,10 +23,10 @@ gives no rows.  Columns that aren't named are carried along or ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.llm.common import cut, ranked, tune
+from legajo.llm.common import columns, cut, quoted, ranked, tune
 
 DIMENSIONS = {"doc_id": "number", "size": "number", "lang": "string", "source": "string"}
 BITS = 4
@@ -72,26 +75,46 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
 
 def quantised(df: DataFrame, dimensions: dict[str, str], bits: int) -> DataFrame:
     """df with a column _q_<name> of 0 to 2^bits - 1 for each dimension."""
-    cells = 2**bits
+    shares = [i / 2**bits for i in range(1, 2**bits)]
     numbers = [c for c, kind in dimensions.items() if kind == "number"]
     if numbers:
-        shares = [i / cells for i in range(1, cells)]
-        cuts = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"_cut_{c}") for c in numbers])
+        cuts = df.agg(*[F.percentile_approx(quoted(c), shares, 10_000).alias(f"_cut_{c}") for c in numbers])
         df = df.join(F.broadcast(cuts))  # one row
-    for c in numbers:
-        above = F.expr(f"size(filter(`_cut_{c}`, x -> x < `{c}`))")
-        df = df.withColumn(f"_q_{c}", F.when(F.col(c).isNull() | F.col(f"_cut_{c}").isNull(), 0).otherwise(above)).drop(f"_cut_{c}")
     for c in set(dimensions) - set(numbers):
-        df = df.withColumn(f"_q_{c}", F.coalesce(F.floor(F.crc32(F.col(c)) / 2 ** (32 - bits)).cast("int"), F.lit(0)))
+        df = df.join(F.broadcast(_string_cuts(df.select(quoted(c).alias("value")), 2**bits).withColumnRenamed("cuts", f"_cut_{c}")))  # one row
+    for c in dimensions:
+        # a cut is the greatest value of its cell
+        above = F.size(F.filter(F.col(f"`_cut_{c}`"), _below(quoted(c))))
+        cell = F.when(quoted(c).isNull() | F.col(f"`_cut_{c}`").isNull(), 0).otherwise(above)
+        df = df.withColumn(f"_q_{c}", cell).drop(f"_cut_{c}")
     return df
 
 
+def _below(value: Column):
+    return lambda x: x < value
+
+
+def _string_cuts(df: DataFrame, cells: int) -> DataFrame:
+    """One row, `cuts`: the values of column `value` that the first i / cells of its sorted rows reach, for i = 1 to cells - 1."""
+    counts = df.where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    placed = cut(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    parts = placed.groupBy("part").agg(F.sum("n").alias("rows"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    total = parts.agg(F.sum("rows").alias("total"))
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("own", F.sum("n").over(inside)).join(F.broadcast(parts.select("part", "before")), "part").join(F.broadcast(total))
+    upto = F.col("own") + F.col("before")
+    reached = [F.min(F.when(upto * cells >= F.col("total") * i, F.col("value"))) for i in range(1, cells)]
+    return summed.agg(F.array_compact(F.array(*reached)).alias("cuts"))
+
+
 def hilbert_shards(df: DataFrame, shards: int, dimensions: dict[str, str], ties: list[str], bits: int = BITS) -> DataFrame:
     """df with `curve`, `shard` (0 to shards - 1) and `slot` (0, 1, ... in each shard)."""
     df = quantised(df, dimensions, bits)
     df = df.withColumn("curve", hilbert_index([F.col(f"_q_{c}") for c in dimensions], bits))
     df = df.drop(*[f"_q_{c}" for c in dimensions])
-    order = [F.col("curve"), *[F.col(c).asc_nulls_last() for c in ties]]
+    order = [F.col("curve"), *[quoted(c).asc_nulls_last() for c in ties]]
     out = ranked(df, order)
     total = out.agg(F.count("*").alias("_total"))
     out = out.join(F.broadcast(total))  # one row
@@ -119,10 +142,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, carry: bool = False) -> D
     tune(docs.sparkSession)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")).alias("text_crc32")
-    facts = docs.select("doc_id", size, crc, "lang", "source", *([F.struct(*docs.columns).alias("document")] if carry else []))
+    facts = docs.select("doc_id", size, crc, "lang", "source", *([F.struct(*columns(docs)).alias("document")] if carry else []))
     return hilbert_shards(facts if carry else cut(facts), shards, DIMENSIONS, ["doc_id", "text_crc32", "size"])
 
 
+def shard_rows(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """All columns of docs and size, text_crc32, curve, shard, slot of each row; a column of docs that has such a name gives way."""
+    new = ["size", "text_crc32", "curve", "shard", "slot"]
+    out = shard_documents(docs, shards, carry=True)
+    return out.select(*[F.col("document")[c].alias(c) for c in docs.columns if c not in new], *new)
+
+
 def op3_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
     from legajo.llm.common import documents
 
