@@ -107,34 +107,48 @@ def targets(sizes, weights=(5, 2, 1), total=1.5, most=2):
     return out
 
 
-def mix(docs, seed="mix-1", **options):
+def mix(docs, seed="mix-2", weight=lambda i, size: max(1, int(size**0.5 * 1024)), **options):
     """docs: (doc_id, text, source) -> {index: copies}."""
     size = [len(SPACED.findall(t or "")) for _, t, _ in docs]
     sources = {}
     for n, (_, _, s) in zip(size, docs, strict=True):
         sources[s] = sources.get(s, 0) + n
-    goal, out = targets(sources, **options), {}
+    goal, out, seen = targets(sources, **options), {}, {}
     for source, total in sources.items():
         ratio = goal[source] / total if total else 0.0
         whole = int(ratio)
-        share, rest = ratio - whole, goal[source] - whole * total
-        units = {}
-        for i, (doc, _, s) in enumerate(docs):
-            if s == source and size[i]:
-                u = (int(hashlib.md5(f"{seed}:{'null' if doc is None else doc}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
-                q = (u / (1 - u)) / (share / (1 - share) if share > 0 else 1.0)
-                units.setdefault((q, 2**63 - 1 if doc is None else doc, size[i]), []).append(i)
-        run, picked, left = 0, set(), []
-        for unit in sorted(units):
-            run += unit[2] * len(units[unit])
-            (picked.add(unit) if run <= rest else left.append(unit))
-        had = sum(x[2] * len(units[x]) for x in picked)
-        best = min(((abs(rest - had - x[2] * len(units[x])), x) for x in left), default=None)
+        rest = goal[source] - whole * total
+        own = [i for i, (_, _, s) in enumerate(docs) if s == source and size[i]]
+        w = {i: weight(i, size[i]) for i in own}
+        certain: set = set()
+        while True:
+            free = [i for i in own if i not in certain]
+            level = (rest - sum(size[i] for i in certain)) / sum(size[i] * w[i] for i in free) if free else 1.0
+            if not (more := [i for i in free if level * w[i] >= 1]):
+                break
+            certain |= set(more)
+        ranked = []
+        for i in own:
+            doc, text, _ = docs[i]
+            digest = hashlib.md5((text or "").encode()).hexdigest()
+            k = seen[doc, source, digest] = seen.get((doc, source, digest), -1) + 1
+            u = (int(hashlib.md5(f"{seed}:{'null' if doc is None else doc}:{digest}:{k}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+            p = min(1.0, level * w[i])
+            q = 0.0 if p >= 1 else u / (1 - u) * ((1 - p) / p) if p > 0 else u / (1 - u)
+            ranked.append((q, 2**63 - 1 if doc is None else doc, digest, k, i))
+        run, had, picked, left = 0, 0, set(), []
+        for unit in sorted(ranked):
+            run += size[unit[4]]
+            if run <= rest:
+                picked.add(unit[4])
+                had = run
+            else:
+                left.append(unit)
+        best = min(((abs(rest - had - size[x[4]]), x) for x in left), default=None)
         if best and best[0] < rest - had:
-            picked.add(best[1])
-        for unit, rows in units.items():
-            for i in rows:
-                out[i] = whole + (unit in picked)
+            picked.add(best[1][4])
+        for i in own:
+            out[i] = whole + (i in picked)
     return {i: out.get(i, 0) for i in range(len(docs))}
 
 

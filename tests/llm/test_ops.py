@@ -224,12 +224,52 @@ def test_shards(spark, plain, odd, empty):
     assert all(by_id[i].size == len((t or "").encode()) + 1 and by_id[i].text_crc32 == zlib.crc32((t or "").encode()) for i, t in enumerate(TEXTS))
 
 
+def test_shards_by_brute_force(spark, plain, odd):
+    """Cells, curve, order and cuts against plain Python; the curve by walking all cells of a small grid."""
+    for docs in (plain, odd.where("doc_id is not null").dropDuplicates(["doc_id", "text"])):
+        rows = [(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), r.lang, r.source) for r in docs.collect()]
+        values = list(zip(*[(r[0], r[1], r[3], r[4]) for r in rows], strict=True))
+
+        def cell(column, v, cells=2**hilbert.BITS):
+            known = sorted(x for x in column if x is not None)
+            cuts = [known[max(0, -(-i * len(known) // cells) - 1)] for i in range(1, cells)] if known else []
+            return 0 if v is None else sum(c < v for c in cuts)
+
+        points = {tuple(cell(values[k], r[i]) for k, i in enumerate((0, 1, 3, 4))) for r in rows}
+        grid = spark.createDataFrame(sorted(points), "a int, b int, c int, d int")
+        place = {tuple(r)[:4]: r.h for r in grid.withColumn("h", hilbert.hilbert_index([F.col(c) for c in "abcd"], hilbert.BITS)).collect()}
+        key = lambda r: (place[tuple(cell(values[k], r[i]) for k, i in enumerate((0, 1, 3, 4)))], r[0], r[2], r[1])
+        want = []
+        for rank, r in enumerate(sorted(rows, key=key)):
+            shard = rank * 4 // len(rows)
+            want.append((r[0], r[2], key(r)[0], shard, rank - -(-shard * len(rows) // 4)))
+        assert sorted(tuple(r) for r in hilbert.shard_documents(docs, 4).select("doc_id", "text_crc32", "curve", "shard", "slot").collect()) == sorted(want)
+
+
 def test_shard_pruning(spark, real):
-    """Shards are narrower than the whole table in each number."""
-    table = hilbert.manifest(hilbert.shard_documents(real, 16), ["doc_id", "size"]).collect()
+    """Minimum and maximum of a shard rule most shards out for numbers, and hardly any wrongly kept for strings."""
+    sharded = hilbert.shard_documents(real, 16)
+    rows = sharded.collect()
+    table = hilbert.manifest(sharded, ["doc_id", "size", "lang", "source"]).collect()
     whole = [max(r[f"max_{c}"] for r in table) - min(r[f"min_{c}"] for r in table) for c in ("doc_id", "size")]
     spans = [np.mean([r[f"max_{c}"] - r[f"min_{c}"] for r in table]) for c in ("doc_id", "size")]
     assert spans[0] < 0.8 * whole[0] and spans[1] < 0.8 * whole[1]
+    kept = held = 0
+    for c in ("lang", "source"):
+        for v in {r[c] for r in rows}:
+            own = {r.shard for r in rows if r[c] == v}
+            may = {r.shard for r in table if r[f"min_{c}"] <= v <= r[f"max_{c}"]}
+            assert own <= may
+            kept, held = kept + len(may), held + len(own)
+    values = len({r.lang for r in rows}) + len({r.source for r in rows})
+    assert kept <= 1.3 * held and kept < 0.75 * 16 * values, (kept, held, 16 * values)
+
+
+def test_shard_rows_keeps_all_columns(spark, plain):
+    docs = plain.withColumn("a.b", F.lit(1)).withColumn("document", F.lit("d")).withColumn("shard", F.lit("old"))
+    out = hilbert.shard_rows(docs, 4)
+    assert out.columns == [c for c in docs.columns if c not in ("size", "shard")] + ["size", "text_crc32", "curve", "shard", "slot"]
+    assert sorted((r.doc_id, r["a.b"], r.document, r.row) for r in out.collect()) == [(i, 1, "d", "r") for i in range(len(TEXTS))]
 
 
 # --- op4 ---------------------------------------------------------------------
@@ -553,10 +593,15 @@ def test_quality_odd_and_empty(odd, empty):
 # --- op10 --------------------------------------------------------------------
 
 
-def test_mix(spark, real):
+def _mix_key(d, t, s):
+    return d is None, d or 0, len(brute.SPACED.findall(t or "")), s or ""
+
+
+@pytest.mark.parametrize("seed,total", [("mix-2", 1.5), ("other", 0.4)])
+def test_mix(spark, real, seed, total):
     rows = real.select("doc_id", "text", "source").collect()
-    got = {r.doc_id: r for r in mixture.mix(real).collect()}
-    want = brute.mix([tuple(r) for r in rows])
+    got = {r.doc_id: r for r in mixture.mix(real, seed=seed, total=total).collect()}
+    want = brute.mix([tuple(r) for r in rows], seed=seed, total=total)
     assert {r.doc_id: want[i] for i, r in enumerate(rows)} == {k: v.copies for k, v in got.items()}
     assert all(r.taken == r.copies * r.size <= 2 * r.size for r in got.values())
 
@@ -565,14 +610,51 @@ def test_mix_odd_and_empty(odd, empty, plain):
     for docs in (odd, plain):
         rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
         want = brute.mix(rows)
-        key = lambda d, t, s: (d is None, d or 0, len(brute.SPACED.findall(t or "")), s or "")
-        assert sorted((key(*r), want[i]) for i, r in enumerate(rows)) == sorted(((r.doc_id is None, r.doc_id or 0, r.size, r.source or ""), r.copies) for r in mixture.mix(docs).collect())
-        assert mixture.mixed(docs).columns == docs.columns
-        assert mixture.mixed(docs).count() == sum(want.values())
+        assert sorted((_mix_key(*r), want[i]) for i, r in enumerate(rows)) == sorted(((r.doc_id is None, r.doc_id or 0, r.size, r.source or ""), r.copies) for r in mixture.mix(docs).collect())
+        out = mixture.mixed(docs)
+        assert out.columns == docs.columns
+        assert Counter(_mix_key(r.doc_id, r.text, r.source) for r in out.collect()) == Counter(k for i, r in enumerate(rows) for k in [_mix_key(*r)] * want[i])
     assert mixture.mix(empty).count() == 0 and mixture.mixed(empty).count() == 0
 
 
+def test_mix_repeated_rows(spark, monkeypatch):
+    """Equal rows without ids are taken one by one, also where they are many; columns may hold dots."""
+    monkeypatch.setattr(mixture, "_MANY", 16)
+    docs = _docs(spark, [None] * 100, ["a b c d e f g h i j"] * 100).withColumn("a.b", F.lit("x"))
+    got = mixture.mix(docs, total=0.5).collect()
+    assert len(got) == 100 and sum(r.taken for r in got) == 500
+    out = mixture.mixed(docs, total=0.5)
+    assert out.columns == docs.columns and out.count() == 50
+    assert mixture.mixed(docs, total=1.73).count() == 173
+    sizes = [1 + i % 7 for i in range(100)]
+    some = _docs(spark, [None] * 100, [" ".join("x" * n) for n in sizes])
+    assert abs(sum(r.taken for r in mixture.mix(some, total=1.5).collect()) - 1.5 * sum(sizes)) <= 1
+
+
 def test_mix_weights(spark):
     docs = _docs(spark, range(300), ["a b c d"] * 300).withColumn("w", F.when(F.col("doc_id") < 150, 9.0).otherwise(1.0))
-    got = mixture.mix(docs, total=0.5, weight_col="w").where("copies > 0").select("doc_id").collect()
-    assert len(got) == 150 and sum(r.doc_id < 150 for r in got) > 100
+    got = {r.doc_id: r.copies for r in mixture.mix(docs, total=0.5, weight_col="w").collect()}
+    want = brute.mix([(i, "a b c d", "s") for i in range(300)], weight=lambda i, _: 9_000_000 if i < 150 else 1_000_000, total=0.5)
+    assert got == want and sum(got.values()) == 150 and sum(got[i] for i in range(150)) > 120
+
+
+def test_mix_inclusion_frequencies():
+    """Over many seeds documents are included as often as their probabilities say; the plain version is what Spark gives, see above."""
+    kinds = [1, 2, 3, 4, 6, 9, 12, 16, 20, 25, 30, 36, 49, 600]
+    docs = [(i, " ".join("x" * n), "s") for i, n in enumerate(kinds * 6)]
+    size = [len(t.split()) for _, t, _ in docs]
+    for total in (0.3, 0.8):
+        weight = [int(n**0.5 * 1024) for n in size]
+        certain: set = set()
+        while True:
+            level = (total * sum(size) - sum(size[i] for i in certain)) / sum(size[i] * weight[i] for i in range(len(docs)) if i not in certain)
+            if not (more := {i for i in range(len(docs)) if level * weight[i] >= 1} - certain):
+                break
+            certain |= more
+        p = np.array([min(1.0, level * w) for w in weight])
+        assert p @ size == pytest.approx(total * sum(size)) and len(certain) == (6 if total == 0.8 else 0)
+        seen = np.zeros(len(docs))
+        for k in range(30):
+            seen += [brute.mix(docs, seed=f"s{k}", total=total)[i] for i in range(len(docs))]
+        assert np.abs((seen / 30 - p).reshape(6, -1).mean(axis=0)).max() < 0.12
+        assert all(seen[i] == 30 for i in certain)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import brute
 
@@ -62,3 +64,56 @@ def test_language_stage_sends_off_junk_and_foreign_texts(spark):
     assert not {-1 - i for i in range(len(bad))} & kept
     assert {-1 - i for i in range(len(bad), len(rows))} <= kept
     assert {r.doc_id for r in real.where("text rlike '[a-z]'").select("doc_id").collect()} <= kept
+
+
+PROSE = "the rain in the north of the land was as it had been for the whole of the long winter and the people who lived there were used to it by now"
+
+
+def _tables(spark, folder, rows):
+    """documents with columns that clash with those of the operators, and a benchmark."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, kinds)
+    for name in ("key", "row", "a.b", "shard", "copies", "_size", "document", "score", "lang_pred", "n", "node", "und`x"):
+        docs = docs.withColumn(name, F.lit(name + "!"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "an item of thirteen words that is said nowhere else but in this benchmark here"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls, blank texts, ties, rows repeated in full, clashing columns, and a text that no slice holds."""
+    words = PROSE.split()
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    bad = "an item of thirteen words that is said nowhere else but in this benchmark here"
+    rows = [(i, prose(30 + i), "en", f"s{i % 3}", 1) for i in range(1, 40)]
+    long = prose(500_000)
+    rows += [(100, long, "en", "s0", 1), (101, long + " end", None, "s1", 1)]
+    rows += [(200, None, "en", "s0", None), (201, "", None, None, 0), (202, " \n\t", "en", None, 3), (203, "123 456", "en", "s0", 7)]
+    rows += [(None, PROSE + " once", "en", None, 1), (None, PROSE + " once", "en", None, 1), (300, PROSE + " twice", "en", "s2", 1), (300, PROSE + " twice", "en", "s2", 1), (301, bad + " " + PROSE[:60], None, "s1", 1)]
+    docs = _tables(spark, str(tmp_path), rows)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        if name != "shard":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        ids = Counter(r.doc_id for r in now.select("doc_id").collect())
+        if name == "language_id":
+            assert not {200, 201, 202, 203} & set(ids) and ids[None] == 2 and ids[300] == 2 and {100, 101, 301} <= set(ids)
+        elif name == "near_duplicates":
+            # PROSE once and twice are near copies; the one with an id is first
+            assert ids[100] == 1 and 101 not in ids and ids[300] == 1 and None not in ids
+        elif name == "decontaminate":
+            assert 301 not in ids and ids[100] == 1
+        elif name == "mix":
+            assert max(ids.values()) <= 2
+    assert set(docs.columns) <= set(now.columns) and {r["a.b"] for r in now.select("`a.b`").collect()} == {"a.b!"}
+    ran = corpus_pipeline.run(spark, str(tmp_path))
+    assert ran.columns == now.columns and ran.count() == now.count()
+
+
+def test_empty_tables(spark, tmp_path):
+    _tables(spark, str(tmp_path), [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
