@@ -161,8 +161,8 @@ def learn(docs: DataFrame, size: int = PROFILE, group: int = LANGUAGES) -> list[
     return [Profiles([tuple(r) for r in best.where(F.col("lang").between(p[0], p[-1])).collect()], size) for p in parts]
 
 
-def _pass(profiles: Profiles, top: int, names: tuple[str, str], first: bool):
-    """Adds the columns `names`, or betters those that an earlier group of languages gave."""
+def _pass(profiles: Profiles, top: int, first: bool):
+    """Adds lang_pred and score, or betters those that an earlier group of languages gave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -173,7 +173,7 @@ def _pass(profiles: Profiles, top: int, names: tuple[str, str], first: bool):
                 for i, (x, y) in enumerate(zip(before.to_pylist(), had.to_pylist(), strict=True)):
                     if y >= score[i]:
                         lang[i], score[i] = x, y
-            yield pa.record_batch([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: len(rest)], *names])
+            yield pa.record_batch([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: len(rest)], "lang_pred", "score"])
 
     return run
 
@@ -182,10 +182,12 @@ def identify(docs: DataFrame, profiles: list[Profiles], top: int = TOP, names: t
     """docs with the predicted language and its score, in columns called `names` (which replace any of docs)."""
     tune(docs.sparkSession)
     docs = docs.drop(*names)
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    # mapInArrow takes no names with dots or backquotes
+    out = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    schema = T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     for i, group in enumerate(profiles or [Profiles([])]):
-        docs = docs.mapInArrow(_pass(group, top, names, i == 0), schema)
-    return docs
+        out = out.mapInArrow(_pass(group, top, i == 0), schema)
+    return out.toDF(*docs.columns, *names)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
