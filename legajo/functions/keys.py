@@ -26,6 +26,11 @@ def version_pliego(url: Column | str) -> Column:
     return F.element_at(F.split(_col(url), "/", -1), -1)
 
 
+def timestamp(c: Column | str) -> Column:
+    """A date or time as text, with or without an offset, as the moment it names; null where it names none."""
+    return _col(c).try_cast("timestamp")
+
+
 def categoria(details: Column | str) -> Column:
     """What follows the first ` - `, or all."""
     c = _col(details)

@@ -84,8 +84,9 @@ def _changed(lines: Column) -> Column:
 
 
 def has_consecutive_duplicates(c: Column | str) -> Column:
+    """Null has none."""
     lines = _lines(c)
-    return F.size(_changed(lines)) < F.size(lines)
+    return F.coalesce(F.size(_changed(lines)) < F.size(lines), F.lit(False))
 
 
 def drop_consecutive_duplicates(c: Column | str) -> Column:

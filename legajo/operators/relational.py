@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
@@ -10,17 +11,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_LOG = logging.getLogger(__name__)
+
 Filter = str | Callable[[DataFrame], DataFrame]
 
 
 # --- columns -----------------------------------------------------------------
 
 
+#: Steps of a path that its column's name leaves out (the last step always stays).
+ROOT_STEP, LIST_STEP = "compiledRelease", "0"
+_WORD_ENDS = re.compile(r"(?<=[a-z])(?=[A-Z])|[\W_]+")
+
+
 def column_rule(name: str) -> str:
-    """`compiledRelease/tender/documents/0/documentTypeDetails` -> `tender_documents_document_type_details`."""
-    name = name.replace("compiledRelease/", "").replace("/0/", "_").replace(" ", "_")
-    name = re.sub(r"([a-z])([A-Z])", r"\1_\2", name).lower()
-    return re.sub(r"_+", "_", re.sub(r"\W+", "_", name)).strip("_")
+    """`compiledRelease/tender/documents/0/documentTypeDetails` -> `tender_documents_document_type_details`: the words of a path's steps."""
+    *steps, last = name.split("/")
+    inner = [s for i, s in enumerate(steps) if s != ROOT_STEP and (i == 0 or s != LIST_STEP)]
+    return "_".join(word.lower() for step in [*inner, last] for word in _WORD_ENDS.split(step) if word)
 
 
 def rename_by(df: DataFrame, rule: Callable[[str], str] = column_rule) -> DataFrame:
@@ -28,7 +36,9 @@ def rename_by(df: DataFrame, rule: Callable[[str], str] = column_rule) -> DataFr
 
 
 def rename_map(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Unknown names are ignored."""
+    """Unknown names are ignored; a map of which no name is known is reported."""
+    if not set(names) & set(df.columns):
+        _LOG.warning("no column is called %s", ", ".join(names))
     return df.withColumnsRenamed(dict(names))
 
 
@@ -97,11 +107,13 @@ def where_given(df: DataFrame, limit: int | None = None, order: Iterable[str | C
 
 
 def where_method(df: DataFrame, column: str, method: Filter, order: Iterable[str | Column] = ()) -> DataFrame:
-    """`unique` (first per value), `non_null`, `positive`, or a callable."""
+    """`unique` (first per value in an order, which must be given: rows have none of their own), `non_null`, `positive`, or a callable."""
     if callable(method):
         return df.transform(method)
     if method == "unique":
-        return first_per_key(df, [column], list(order) or [F.monotonically_increasing_id()])
+        if not list(order):
+            raise ValueError("unique needs an order that tells which row is first")
+        return first_per_key(df, [column], order)
     if method == "non_null":
         return df.where(F.col(column).isNotNull())
     if method == "positive":

@@ -35,6 +35,19 @@ def number_lines(raw: DataFrame, normalizer: str | Normalizer = "canonical", pai
     return lines.select("document_id", "page_number", "line_number", "line_text")
 
 
+def with_position(raw: DataFrame) -> DataFrame:
+    """raw lines (document_id, page_number, idx) with `position`: their number through the whole document from 1, blank ones counted.
+
+    Only counts of lines per page meet in the window over a document.
+    """
+    pages = raw.groupBy("document_id", "page_number").agg(F.count("*").alias("_lines"), F.min("idx").alias("_first"))
+    before = Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    same = raw["document_id"].eqNullSafe(pages["document_id"]) & raw["page_number"].eqNullSafe(pages["page_number"])
+    out = raw.join(pages, same).drop(pages["document_id"]).drop(pages["page_number"])
+    return out.withColumn("position", (F.col("_before") + F.col("idx") - F.col("_first") + 1).cast("int")).drop("_lines", "_first", "_before")
+
+
 def match_titles(outlines: DataFrame, lines: DataFrame, clean: Normalizer = clean_canonical) -> DataFrame:
     """outlines with the line_number of the line of the same page that equals the title, null if there is none."""
     left = outlines.withColumn("_title", clean("title"))
@@ -48,7 +61,7 @@ def match_titles(outlines: DataFrame, lines: DataFrame, clean: Normalizer = clea
 def first_equal_line(titles: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
     """titles (key, document_id, title) with the first line of the whole document that equals the title.
 
-    Lines are numbered through the document; `position` of lines is that number.
+    Lines are numbered through the document; `position` of lines is that number (see with_position).
     """
     found = titles.join(lines.select("document_id", F.col("line_text").alias("title"), "page_number", "line_number", "position"), ["document_id", "title"], "left")
     rest = [c for c in titles.columns if c not in key]
@@ -79,12 +92,13 @@ def section_bounds(outlines: DataFrame) -> DataFrame:
     return known.withColumn("end_page", end).withColumn("line_end", F.lead("line_number").over(order))
 
 
-def assemble_sections(outlines: DataFrame, lines: DataFrame, by_page: bool = False) -> DataFrame:
+def assemble_sections(outlines: DataFrame, lines: DataFrame, by_page: bool = True) -> DataFrame:
     """One row per title with the lines up to the next: content, content_length (lines), line_start, line_end.
 
     `ord` must identify the rows of outlines.  Sections may overlap, so this is a
-    range join.  With by_page a section is spread over its pages first, which
-    makes (document, page) the join key: for documents too long for one task.
+    range join.  A section is spread over its pages first, which makes (document,
+    page) the join key; without by_page documents are joined whole and pages
+    compared after that, which pays only where sections span very many empty pages.
     """
     bounds = section_bounds(outlines)
     text = lines.select("document_id", "page_number", F.col("line_number").alias("_number"), "line_text")
@@ -108,7 +122,8 @@ def assemble_sections(outlines: DataFrame, lines: DataFrame, by_page: bool = Fal
 def clean_sections(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cleaned sections, report of those with consecutive duplicate lines).
 
-    The report is taken before sections without lines are left out.
+    The report is taken before sections without lines are left out.  Both are
+    lazy and share one plan: who writes both should write or persist sections first.
     """
     from legajo.functions.text import drop_consecutive_duplicates, halve_marks, has_consecutive_duplicates
 

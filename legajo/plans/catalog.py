@@ -1,8 +1,8 @@
 """Queries over the driver tables and the DuckDB SQL with the same rows.
 
 The tables stand in for the reference's own: documents split into lines are the
-text of PDF pages (eight lines a page), every fifth line is an outline title,
-orders are tenders and nations their categories.  Nulls and doubled marks, which
+text of PDF pages (eight lines a page), short lines are outline titles, orders
+are tenders and nations their categories.  Nulls and doubled marks, which
 the tables lack, are put in by the same expression on both sides.
 """
 
@@ -51,16 +51,19 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw_lines(spark, sf_dir).select("document_id", "i", page.alias("page_number"), (F.col("i") % 8 + 1).alias("line_number"), "line_text")
 
 
+_HEADING = 80  # characters of a line that still counts as a title
+
+
 def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).where("i % 5 = 0")
+    lines = _lines(spark, sf_dir).where(F.length("line_text").between(1, _HEADING))
     return lines.select("document_id", F.col("page_number").alias("page"), "i", F.col("line_text").alias("title"), "line_number")
 
 
-_SQL_LINES = r"""
+_SQL_LINES = rf"""
 raw AS (SELECT CAST(doc_id AS VARCHAR) document_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) i, unnest(s) line_text
         FROM (SELECT doc_id, string_split(text, chr(10)) s FROM documents)),
 lines AS (SELECT document_id, i, CAST(i // 8 + 1 AS INTEGER) page_number, CAST(i % 8 + 1 AS INTEGER) line_number, line_text FROM raw),
-outlines AS (SELECT document_id, page_number page, i, line_text title, line_number FROM lines WHERE i % 5 = 0)
+outlines AS (SELECT document_id, page_number page, i, line_text title, line_number FROM lines WHERE length(line_text) BETWEEN 1 AND {_HEADING})
 """
 
 _SQL_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
@@ -121,9 +124,9 @@ def sections_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_SQL_LINES}, {_SQL_SECTIONS} SELECT * FROM assembled")
-def sections_assemble_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sections joined on (document, page)."""
-    return sections.assemble_sections(_numbered(spark, sf_dir), _lines(spark, sf_dir), by_page=True).drop("ord")
+def sections_assemble_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections, documents joined whole."""
+    return sections.assemble_sections(_numbered(spark, sf_dir), _lines(spark, sf_dir), by_page=False).drop("ord")
 
 
 @query(f"WITH {_SQL_LINES} SELECT document_id, i, page_number, line_number, line_text FROM lines")
@@ -180,7 +183,7 @@ def outline_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT document_id, i, title, CAST((matched_line - 1) // 8 + 1 AS INTEGER) matched_page, CAST(matched_line AS INTEGER) matched_line FROM f"""
 )
 def outline_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).withColumn("position", F.col("i") + 1).drop("i")
+    lines = sections.with_position(_lines(spark, sf_dir).withColumn("idx", F.col("line_number") - 1)).drop("idx", "i")
     return sections.first_equal_line(_outlines(spark, sf_dir).select("document_id", "i", "title"), lines, ["document_id", "i"])
 
 
@@ -190,14 +193,15 @@ def _sql_blanking(x: str) -> str:
 
 @query(
     rf"""WITH {_SQL_LINES},
-    half AS (SELECT document_id, i, page, CASE WHEN i % 2 = 0 THEN left(title, 12) ELSE replace(title, 'e', 'E') END title FROM outlines),
-    t AS (SELECT *, {_sql_blanking("lower(title)")} k FROM half), l AS (SELECT *, {_sql_blanking("lower(line_text)")} c FROM lines)
+    other AS (SELECT document_id, i, page, CASE WHEN i % 2 = 0 THEN regexp_replace(title, '\.+$', '') ELSE replace(title, 'e', 'E') END title FROM outlines),
+    t AS (SELECT *, {_sql_blanking("lower(title)")} k FROM other), l AS (SELECT *, {_sql_blanking("lower(line_text)")} c FROM lines)
     SELECT t.document_id, t.i, min(t.page) page, min(t.title) title, min(l.line_number) linea,
       CASE WHEN min(l.line_number) IS NOT NULL THEN min(t.page) || '-' || min(l.line_number) END pagina_linea
     FROM t LEFT JOIN l ON l.document_id = t.document_id AND l.page_number = t.page AND contains(l.c, t.k) GROUP BY t.document_id, t.i"""
 )
 def outline_contains_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.when(F.col("i") % 2 == 0, F.left("title", F.lit(12))).otherwise(F.replace("title", F.lit("e"), F.lit("E")))
+    """Titles lack their last full stop, or have other capitals: their line contains them but isn't equal."""
+    title = F.when(F.col("i") % 2 == 0, F.regexp_replace("title", r"\.+$", "")).otherwise(F.replace("title", F.lit("e"), F.lit("E")))
     titles = _outlines(spark, sf_dir).select("document_id", "i", "page", title.alias("title"))
     return sections.first_containing_line(titles, _lines(spark, sf_dir), ["document_id", "i"])
 
@@ -359,24 +363,13 @@ def semi_join_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.present_keys(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
-@query(
-    """SELECT o_orderkey, o.k AS k, o_orderstatus AS status_x, c_name, c_mktsegment AS status_y
-    FROM (SELECT o_orderkey, o_orderstatus, nullif(o_custkey % 50, 3) k FROM orders) o
-    LEFT JOIN (SELECT nullif(c_custkey, 9) k, c_name, c_mktsegment FROM customer WHERE c_custkey < 40) c ON o.k IS NOT DISTINCT FROM c.k"""
-)
-def left_join_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.nullif(F.col("o_custkey") % 50, F.lit(3)).alias("k"))
-    right = _table(spark, sf_dir, "customer").where("c_custkey < 40").select(F.nullif("c_custkey", F.lit(9)).alias("k"), "c_name", F.col("c_mktsegment").alias("status"))
-    return rel.left_join_nullsafe(left, right, "k")
-
-
 @query(
     """SELECT o_orderkey, o.k AS k, o_orderstatus AS status_x, c_name, c_mktsegment AS status_y
     FROM (SELECT o_orderkey, o_orderstatus, nullif(o_custkey, 3) k FROM orders) o
     LEFT JOIN (SELECT nullif(c_custkey, 9) k, c_name, c_mktsegment FROM customer) c ON o.k IS NOT DISTINCT FROM c.k"""
 )
-def left_join_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders with all customers, on the key as it is; left_join_records takes 40 customers and folded keys."""
+def left_join_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with all customers; one key is null on each side, and null meets null."""
     left = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.nullif("o_custkey", F.lit(3)).alias("k"))
     right = _table(spark, sf_dir, "customer").select(F.nullif("c_custkey", F.lit(9)).alias("k"), "c_name", F.col("c_mktsegment").alias("status"))
     return rel.left_join_nullsafe(left, right, "k")
@@ -402,18 +395,18 @@ def anti_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.missing_keys(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), have, "c_custkey")
 
 
-@query("SELECT DISTINCT o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1995")
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997")
 def union_years_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y"))
-    return rel.union_distinct([orders.where(F.col("y") == y) for y in (1993, 1994, 1995)])
+    return rel.union_distinct([orders.where(F.col("y") == y) for y in (1995, 1996, 1997)])
 
 
-@query("SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1993 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE year(o_orderdate) IN (1993, 1994)")
+@query("SELECT o_orderkey, CASE WHEN year(o_orderdate) <> 1996 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997")
 def union_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second year lacks a column."""
     orders = _table(spark, sf_dir, "orders")
-    a = orders.where(F.year("o_orderdate") == 1993).select("o_orderkey", "o_orderpriority")
-    return rel.union_all([a, None, orders.where(F.year("o_orderdate") == 1994).select("o_orderkey")])
+    a, b, c = (orders.where(F.year("o_orderdate") == y).select("o_orderkey", "o_orderpriority") for y in (1995, 1996, 1997))
+    return rel.union_all([a, None, b.drop("o_orderpriority"), c])
 
 
 @query("SELECT DISTINCT p_brand, p_type FROM part ORDER BY p_brand, p_type")
@@ -557,21 +550,28 @@ def titles_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT o_custkey AS tender_id, o_orderdate, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') dt FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) IN (1993, 1994)),
-    l AS (SELECT *, year(o_orderdate) y FROM d QUALIFY row_number() OVER (PARTITION BY year(o_orderdate), tender_id ORDER BY dt DESC, 'https://h/' || o_orderkey) = 1),
+    """WITH d AS (SELECT o_custkey AS tender_id, o_orderdate, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') dt, CASE WHEN o_orderkey % 11 = 0 THEN NULL
+      WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1650 MINUTE WHEN o_orderkey % 3 = 1 THEN o_orderdate - INTERVAL 120 MINUTE ELSE o_orderdate END published
+      FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1995 AND 1997),
+    l AS (SELECT *, year(o_orderdate) y FROM d QUALIFY row_number() OVER (PARTITION BY year(o_orderdate), tender_id ORDER BY published DESC NULLS LAST, 'https://h/' || o_orderkey) = 1),
     j AS (SELECT l.*, CAST(c_custkey % 40 AS VARCHAR) nro_licitacion, nullif(n_name, 'KENYA') categoria FROM l LEFT JOIN customer ON c_custkey = tender_id LEFT JOIN nation ON n_nationkey = c_nationkey),
     k AS (SELECT j.*, cat.categoria_id FROM j LEFT JOIN (SELECT nullif(n_name, 'KENYA') categoria, n_nationkey categoria_id FROM nation) cat ON cat.categoria IS NOT DISTINCT FROM j.categoria)
     SELECT nro_licitacion, tender_id, CAST(o_orderkey AS VARCHAR) AS version_pliego, categoria, categoria_id, strftime(o_orderdate, '%Y') AS "year"
     FROM k QUALIFY row_number() OVER (PARTITION BY nro_licitacion ORDER BY y, dt, tender_id) = 1"""
 )
 def pipeline_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata of two years, joined, derived, united and made unique."""
+    """Metadata of three years, joined, derived, united and made unique.
+
+    Times of publication come with different offsets, and some can't be read.
+    """
     orders, nation = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "nation")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    kind = F.col("o_orderkey") % 3
+    clock = F.when(kind == 0, "T23:30:00-04:00").when(kind == 1, "T00:00:00+02:00").otherwise("T00:00:00Z")
     raw = orders.select(
         F.col("o_custkey").alias("tender_id"),
         F.col("o_orderstatus").alias("tender_documents_document_type_details"),
-        day.alias("tender_documents_date_published"),
+        F.when(F.col("o_orderkey") % 11 == 0, "soon").otherwise(F.concat(day, clock)).alias("tender_documents_date_published"),
         day.alias("date"),
         F.concat(F.lit("https://h/"), F.col("o_orderkey").cast("string")).alias("tender_documents_url"),
         F.year("o_orderdate").alias("_y"),
@@ -584,7 +584,7 @@ def pipeline_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     categories = nation.select(F.nullif("n_name", F.lit("KENYA")).alias("categoria"), F.col("n_nationkey").alias("categoria_id"))
     kinds = {"tender_documents_document_type_details": "F"}
-    years = [pipelines.tender_metadata(raw.where(F.col("_y") == y).drop("_y"), records, categories, kinds) for y in (1993, 1994)]
+    years = [pipelines.tender_metadata(raw.where(F.col("_y") == y).drop("_y"), records, categories, kinds) for y in (1995, 1996, 1997)]
     return pipelines.merge_years(years).select("nro_licitacion", "tender_id", "version_pliego", "categoria", "categoria_id", "year")
 
 

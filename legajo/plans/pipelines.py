@@ -18,9 +18,12 @@ def tender_metadata(
 ) -> DataFrame:
     """One year's tenders: documents of a kind, the latest of each tender, with its record and category.
 
+    Dates are compared as moments, whatever their offsets and formats; one that can't be read comes last.
+
     A category whose name is null matches tenders whose category is null, as often as it occurs.
     """
-    latest = latest_per_key(where_equal(documents, kinds), ["tender_id"], date, ties)
+    dated = where_equal(documents, kinds).withColumn(date, keys.timestamp(date))
+    latest = latest_per_key(dated, ["tender_id"], date, ties)
     out = left_join_nullsafe(latest, records, "tender_id")
     out = out.withColumns(
         {

@@ -39,10 +39,15 @@ def _extract(suffix: str, exact: bool):
     return run
 
 
-def extract_members(archives: DataFrame, suffix: str = TERMS_SUFFIX, exact: bool = False) -> DataFrame:
-    """path, member, content, error: of each archive (path, content) the first member that ends with (or is) suffix."""
+def extract_members(archives: DataFrame, suffix: str = TERMS_SUFFIX, exact: bool = False, must: bool = False) -> DataFrame:
+    """path, member, content, error: of each archive (path, content) the first member that ends with (or is) suffix.
+
+    With `must` an archive without it fails the job.
+    """
     find_package(archives.sparkSession)
-    return archives.select("path", "content").mapInPandas(_extract(suffix, exact), _SCHEMA)
+    out = archives.select("path", "content").mapInPandas(_extract(suffix, exact), _SCHEMA)
+    wrong = F.raise_error(F.concat_ws(": ", "path", "error")).cast("string")
+    return out.withColumn("error", F.when(F.col("error").isNotNull(), wrong)) if must else out
 
 
 def read_archives(spark: SparkSession, path: str, pattern: str = "*.{zip,rar}") -> DataFrame:

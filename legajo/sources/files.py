@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from legajo.functions.keys import file_name, nulled
 from legajo.functions.text import element_texts
 
+_LOG = logging.getLogger(__name__)
+
 Paths = str | list[str]
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
@@ -43,14 +46,38 @@ def read_csv_inferred(spark: SparkSession, path: Paths, sep: str = ",") -> DataF
     return spark.read.options(**_CSV, sep=sep, inferSchema="true").csv(path)
 
 
+def readable(spark: SparkSession, paths: Iterable[str]) -> tuple[list[str], dict[str, str]]:
+    """(paths whose first rows can be read as CSV, the errors of the others), which are logged."""
+    good, bad = [], {}
+    for path in paths:
+        try:
+            if not spark.read.options(**_CSV).csv(path).columns:
+                raise ValueError("no columns")
+            good.append(path)
+        except Exception as e:
+            bad[path] = f"{type(e).__name__}: {e}"
+            _LOG.error("%s can't be read: %s", path, bad[path])
+    return good, bad
+
+
 def read_csv_years(spark: SparkSession, template: str, years: Iterable[int], schema: T.StructType) -> DataFrame:
-    """One table of the yearly files that exist; template has {year}."""
-    paths = present(spark, [template.format(year=y) for y in years])
+    """One table of the yearly files that exist and can be read; template has {year}.  Those left out are logged."""
+    wanted = [template.format(year=y) for y in years]
+    here = present(spark, wanted)
+    for path in set(wanted) - set(here):
+        _LOG.warning("%s is missing", path)
+    paths, _ = readable(spark, here)
     if not paths:
         return spark.createDataFrame([], schema)
     return read_csv(spark, paths, schema)
 
 
+def read_csv_suffix(spark: SparkSession, folder: str, suffix: str) -> DataFrame | None:
+    """All CSV files of a folder whose names end with suffix (`_{category}.csv`), as strings; None if there is none."""
+    path = f"{folder.rstrip('/')}/*{suffix}"
+    return read_csv(spark, path) if exists(spark, path) else None
+
+
 def read_column_with_file(spark: SparkSession, path: Paths, column: str = "titulo", file: str = "nombre_archivo") -> DataFrame:
     """One column of many CSV files with the name of its file."""
     df = spark.read.options(**_CSV).csv(path)

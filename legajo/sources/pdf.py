@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.functions.keys import document_id_parts, file_stem, page_number
+from legajo.functions.keys import document_id_parts, file_name, file_stem, page_number
 from legajo.functions.text import clean_outline
-from legajo.operators.sections import number_lines
+from legajo.operators.sections import first_containing_line, number_lines
 from legajo.session import find_package
 
 
@@ -137,6 +137,22 @@ def scan_outline(spark: SparkSession, path: str, backend: str = "library", depth
     return rows.select("document_id", "_parts.*", clean_outline("title").alias("title"), page_number("page", page_offset).alias("page"), "depth", "position")
 
 
+def outline_positions(spark: SparkSession, path: str, backend: str = "library", pattern: str = "*.pdf") -> DataFrame:
+    """titulo, pagina, linea, pagina_linea and archivo of each outline entry of any depth with a title.
+
+    linea: the first raw line of the entry's page that contains the title, in
+    lower case and without doubled marks; null where none does.
+    """
+    titles = scan_outline(spark, path, backend, depth=None, pattern=pattern).where("title <> ''")
+    titles = titles.select("document_id", "position", "page", "title")
+    lines = scan_raw_lines(spark, path, backend, pattern).where("error is null")
+    lines = lines.select("document_id", "page_number", (F.col("idx") + 1).alias("line_number"), "line_text")
+    found = first_containing_line(titles, lines, ["document_id", "position"])
+    names = _files(spark, path, pattern).select(file_stem("path").alias("document_id"), file_name("path").alias("archivo")).distinct()
+    out = found.join(names, "document_id")
+    return out.select(F.col("title").alias("titulo"), F.col("page").alias("pagina"), F.col("linea").cast("int").alias("linea"), "pagina_linea", "archivo")
+
+
 class HtmlConverter(Protocol):
     """Hook for an ML converter from PDF to HTML; none is built in."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -25,10 +26,13 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_per_key_stream(stream: DataFrame, key: str, time: str, delay: str = "10 minutes") -> DataFrame:
-    """Running latest row per key, with a watermark on the event time."""
-    from pyspark.sql import functions as F
+def latest_per_key_stream(stream: DataFrame, key: str, time: str, delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
+    """window_start, key and the latest row of the key in each window of `span`.
 
+    A window's state is dropped once the watermark, `delay` behind the latest
+    event, has passed it; a state by key alone would be kept for ever.
+    """
     rest = [c for c in stream.columns if c != key]
     latest = F.max_by(F.struct(*rest), F.col(time)).alias("_latest")
-    return stream.withWatermark(time, delay).groupBy(key).agg(latest).select(key, "_latest.*")
+    found = stream.withWatermark(time, delay).groupBy(F.window(time, span).alias("_window"), key).agg(latest)
+    return found.select(F.col("_window.start").alias("window_start"), key, "_latest.*")

@@ -7,6 +7,7 @@ import random
 import threading
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ def rows(df):
 def test_column_rule():
     assert rel.column_rule("compiledRelease/tender/documents/0/documentTypeDetails") == "tender_documents_document_type_details"
     assert rel.column_rule("Open Contracting ID") == "open_contracting_id"
+    assert rel.column_rule("compiledRelease/awards/0/suppliers/0/id") == "awards_suppliers_id"
+    assert rel.column_rule("tender/value - amountGs_") == "tender_value_amount_gs" and rel.column_rule("x/0") == "x_0"
 
 
 def test_nullsafe_join_fans_out(spark):
@@ -50,6 +53,8 @@ def test_filters(spark):
     df = spark.createDataFrame([(1, "x"), (0, "y"), (None, None), (1, "z")], "a int, b string")
     assert df.count() == 4 and rel.where_method(df, "a", "positive").count() == 2 and rel.where_method(df, "b", "non_null").count() == 3
     assert rows(rel.where_method(df, "a", "unique", ["b"])) == [(0, "y"), (1, "x"), (None, None)]
+    with pytest.raises(ValueError):
+        rel.where_method(df, "a", "unique")
     assert rel.where_literal(df, "a", "1").count() == 2
     assert rows(rel.where_given(df, limit=1, order=["b"], a=1, b=None)) == [(1, "x")]
     with pytest.raises(ValueError):
@@ -132,6 +137,25 @@ def test_title_match(spark):
     assert reports.match_rate(got).first().match_rate == 40.0
 
 
+def test_positions(spark):
+    raw = spark.createDataFrame([("d", 2, 0, "c"), ("d", 1, 1, ""), ("d", 1, 0, "a"), ("d", 2, 1, "c"), ("e", 5, 3, "z"), (None, 1, 0, "n")], "document_id string, page_number int, idx int, line_text string")
+    got = sections.with_position(raw)
+    assert rows(got.select("document_id", "line_text", "position")) == rows(spark.createDataFrame([("d", "a", 1), ("d", "", 2), ("d", "c", 3), ("d", "c", 4), ("e", "z", 1), (None, "n", 1)], "d string, t string, p int"))
+    titles = spark.createDataFrame([(1, "d", "c"), (2, "d", "none")], "k int, document_id string, title string")
+    found = sections.first_equal_line(titles, got.withColumn("line_number", F.col("idx") + 1), ["k"])
+    assert rows(found.select("k", "matched_page", "matched_line")) == [(1, 2, 3), (2, None, None)]
+
+
+def test_tenders_take_the_latest_moment(spark):
+    """Text order would take the wrong rows: offsets differ, one date has no time, one is no date."""
+    made = [("a", "2024-03-01T23:00:00-04:00", "u1"), ("a", "2024-03-02T01:00:00+00:00", "u2"), ("b", "2024-03-01", "u3"), ("b", "2024-03-01T00:00:00+05:00", "u4"), ("b", "x", "u5"), ("c", None, "u6")]
+    docs = spark.createDataFrame([(*r, "k", "2024-01-01") for r in made], "tender_id string, tender_documents_date_published string, tender_documents_url string, kind string, date string")
+    records = spark.createDataFrame([("a", "ocds-x-77-1", "1 - obras")], "tender_id string, open_contracting_id string, tender_main_procurement_category_details string")
+    categories = spark.createDataFrame([("obras", 5)], "categoria string, categoria_id int")
+    got = pipelines.tender_metadata(docs, records, categories, {"kind": "k"})
+    assert rows(got.select("tender_id", "version_pliego", "nro_licitacion", "categoria_id")) == [("a", "u1", "77", 5), ("b", "u3", None, None), ("c", "u6", None, None)]
+
+
 def test_counted(spark, tmp_path):
     df, seen = reports.counted(spark.range(10), "batch", even=F.col("id") % 2 == 0)
     df.write.parquet(str(tmp_path / "x"))
@@ -139,7 +163,8 @@ def test_counted(spark, tmp_path):
 
 
 def test_clean_sections(spark):
-    df = spark.createDataFrame([("d", "a\na,,\na,", 3), ("e", "", 0), (None, "x", 1)], "document_id string, content string, content_length int")
+    df = spark.createDataFrame([("d", "a\na,,\na,", 3), ("e", "", 0), (None, "x", 1), ("f", None, 0)], "document_id string, content string, content_length int")
+    assert rows(sections.clean_sections(df.where("document_id = 'f'").withColumn("content_length", F.lit(1)))[0].select("has_duplicates")) == [(False,)]
     cleaned, report = sections.clean_sections(df)
     assert rows(cleaned.select("document_id", "has_duplicates", "cleaned_content")) == [("d", True, "a\na,")]
     assert report.count() == 1 and "cleaned_content" not in report.columns
@@ -164,6 +189,14 @@ def test_typed_and_yearly_csv(spark, tmp_path):
     got = files.read_csv_years(spark, str(tmp_path / "o_{year}.csv"), [2021, 2022], schemas.OUTLINES)
     assert rows(got) == [("2021_1_2", "2021", "1", "2", "T", 3, 2)]
     assert files.read_csv_years(spark, str(tmp_path / "x_{year}.csv"), [2021], schemas.OUTLINES).count() == 0
+    (tmp_path / "o_2022.csv").write_text("")
+    assert files.read_csv_years(spark, str(tmp_path / "o_{year}.csv"), [2021, 2022], schemas.OUTLINES).count() == 1
+    good, bad = files.readable(spark, [str(tmp_path / f"o_{y}.csv") for y in (2021, 2022, 2023)])
+    assert len(good) == 1 and len(bad) == 2
+    (tmp_path / "a_obras.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b_obras.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "b_bienes.csv").write_text("x,y\n5,6\n")
+    assert rows(rel.union_distinct([files.read_csv_suffix(spark, str(tmp_path), f"_{c}.csv") for c in ("obras", "none", "bienes")])) == [("1", "2"), ("3", "4"), ("5", "6")]
     assert dict(files.read_csv_inferred(spark, str(tmp_path / "o_2021.csv")).dtypes)["page"] == "int"
 
 
@@ -174,7 +207,16 @@ def test_parquet(spark, tmp_path):
     assert files.read_parquet_checked(spark, str(tmp_path / "p"), ["year", "t"]).count() == 2
     with pytest.raises(ValueError):
         files.read_parquet_checked(spark, str(tmp_path / "p"), ["t"])
-    assert out.compact(spark, str(tmp_path / "p"), str(tmp_path / "q"), 1).count() == 2
+    assert out.compact(spark, str(tmp_path / "p"), str(tmp_path / "q"), 1).count() == 2 and (tmp_path / "p").exists()
+    assert out.compact(spark, str(tmp_path / "q"), str(tmp_path / "none"), 1).count() == 2 and not (tmp_path / "none").exists()
+    assert out.compact(spark, str(tmp_path / "p"), str(tmp_path / "r"), 1, remove=True).count() == 2 and not (tmp_path / "p").exists()
+    out.write_parquet(spark.range(2500).coalesce(1), str(tmp_path / "g"), block_rows=1000)
+    meta = pq.ParquetFile(next((tmp_path / "g").glob("*.parquet"))).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1000, 1000, 500]
+    out.write_csv_per_document(spark.createDataFrame([("s 1_2", "a"), ("s 1_2", "b"), ("t_1", "c")], "output_name string, titulo string"), str(tmp_path / "docs"))
+    assert out.name_csv_files(spark, str(tmp_path / "docs")) == ["s 1_2.csv", "t_1.csv"]
+    assert sorted((tmp_path / "docs" / "s 1_2.csv").read_text().split("\n")) == ["", '"a"', '"b"', '"titulo"']
+    out.write_parquet(df, str(tmp_path / "p"))
     with pytest.raises(ValueError):
         out.compact(spark, str(tmp_path / "p"), str(tmp_path / "p"), 1)
 
@@ -206,6 +248,9 @@ def test_pdf_scan(spark, tmp_path):
     assert rows(outline.select("document_id", "year", "nro_licitacion", "title", "page")) == [("2024_1_77", "2024", "77", "Next", 2), ("2024_1_77", "2024", "77", "Sub title", 1)]
     made = pipelines.sections(outline.drop("position").withColumn("ord", F.struct("document_id", "page", "title")), lines)[0]
     assert {r.title: r.content for r in made.collect()}["Next"] == "Next\nmore"
+    at = pdf.outline_positions(spark, str(tmp_path), "text")
+    assert at.columns == schemas.OUTLINE_POSITIONS.names
+    assert rows(at) == [("Next", 2, 1, "2-1", "2024_1_77.pdf"), ("Sub title", 1, 2, "1-2", "2024_1_77.pdf"), ("Top", 1, 1, "1-1", "2024_1_77.pdf")]
     found = files.list_files(spark, str(tmp_path), ".pdf")
     assert rows(found.select("name")) == [("2024_1_77.pdf",), ("bad.pdf",)]
     assert files.list_files(spark, str(tmp_path / "none")).count() == 0
@@ -280,6 +325,7 @@ def test_warehouse(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w")).where("year = 2021").count() == 1
     ddl = warehouse.warehouse_ddl("s")
     assert ddl[0] == 'CREATE SCHEMA IF NOT EXISTS "s"' and len(ddl) == 8 and "PARTITION BY LIST" in ddl[3]
+    assert 'REFERENCES "s"."categorias" ("category_id")' in ddl[2] and 'REFERENCES "s"."licitaciones" ("nro_licitacion")' in ddl[3]
     good, bad = warehouse.split_bad(table, {"year": F.col("year").rlike("^20")})
     assert (good.count(), bad.first().failed_checks) == (2, "year")
     tenders = warehouse.tenders_table(df.withColumn("i", F.lit(1)), ["i"])
@@ -295,6 +341,20 @@ def test_jdbc(spark):
     assert spark.read.format("jdbc").options(url=url, dbtable="categorias", **driver).load().count() == 4
 
 
+def test_rejected_rows_are_isolated(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "w.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (k TEXT PRIMARY KEY, v TEXT NOT NULL CHECK (length(v) < 4))")
+    df = spark.createDataFrame([(str(i), None if i == 5 else "long" if i == 17 else "ok") for i in range(30)] + [("3", "ok")], "k string, v string").coalesce(1)
+    bad = warehouse.append_isolated(df, lambda: sqlite3.connect(path), "t", str(tmp_path / "letters"), batch=10)
+    assert bad.columns == ["k", "v", "error"] and rows(bad.select("k", "v")) == [("17", "long"), ("3", "ok"), ("5", None)]
+    assert "NOT NULL" in bad.where("k = 5").first().error
+    with sqlite3.connect(path) as db:
+        assert db.execute("SELECT count(*) FROM t").fetchone() == (28,)
+
+
 # --- streams -----------------------------------------------------------------
 
 
@@ -324,4 +384,4 @@ def test_stream_batches_and_latest(spark, tmp_path):
     latest = ingest.latest_per_key_stream(ingest.file_stream(spark, source, df.schema), "k", "t")
     q = latest.writeStream.outputMode("complete").format("memory").queryName("latest_rows").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "m2")).start()
     q.awaitTermination()
-    assert [(r.k, r.v) for r in spark.sql("select * from latest_rows").collect()] == [("a", 2)]
+    assert [(str(r.window_start), r.k, r.v) for r in spark.sql("select * from latest_rows").collect()] == [("2024-01-01 00:00:00", "a", 2)]
