@@ -17,7 +17,7 @@ from legajo.functions import keys, text
 from legajo.operators import relational as rel
 from legajo.operators import reports, sections
 from legajo.plans import pipelines
-from legajo.session import find_package
+from legajo.session import find_package, spread
 from legajo.sinks import warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +38,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- derived tables ----------------------------------------------------------
 
 
 def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line_text"))
+    docs = _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line_text"))
     return docs.select(F.col("doc_id").cast("string").alias("document_id"), "i", "line_text")
 
 
@@ -92,7 +96,7 @@ _SQL_NOISY = f"(SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text ||
 
 
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", F.when(F.col("doc_id") % 17 != 0, F.concat("text", F.lit(_NOISE))).alias("t"))
 
 
@@ -245,19 +249,19 @@ _SQL_RUNS = "SELECT doc_id, string_split(text, chr(10)) s, list_filter(s, lambda
 
 @query(f"SELECT doc_id, len(k) < len(s) AS has_duplicates FROM ({_SQL_RUNS})")
 def consecutive_dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", text.has_consecutive_duplicates("text").alias("has_duplicates"))
+    return _texts(spark, sf_dir).select("doc_id", text.has_consecutive_duplicates("text").alias("has_duplicates"))
 
 
 @query(f"SELECT doc_id, array_to_string(k, chr(10)) AS cleaned_content FROM ({_SQL_RUNS})")
 def consecutive_dup_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", text.drop_consecutive_duplicates("text").alias("cleaned_content"))
+    return _texts(spark, sf_dir).select("doc_id", text.drop_consecutive_duplicates("text").alias("cleaned_content"))
 
 
 _SQL_CONTROL = "(SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text || chr(7) || chr(13) || chr(10) || chr(9) || chr(11) || chr(13) || chr(127) || 'z' END t FROM documents)"
 
 
 def _control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.concat("text", F.lit("\x07\r\n\t\x0b\r\x7fz"))).alias("t"))
 
 
@@ -273,14 +277,14 @@ def strip_controls_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, replace(text || chr(0), chr(0), '') AS clean FROM documents")
 def strip_nul(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", text.strip_nul(F.concat("text", F.lit("\x00"))).alias("clean"))
+    return _texts(spark, sf_dir).select("doc_id", text.strip_nul(F.concat("text", F.lit("\x00"))).alias("clean"))
 
 
 @query()
 def deep_clean_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL has no NFKD; a test compares this with Python."""
     find_package(spark)
-    return _table(spark, sf_dir, "documents").select("doc_id", text.deep_clean("text").alias("clean"))
+    return _texts(spark, sf_dir).select("doc_id", text.deep_clean("text").alias("clean"))
 
 
 _SQL_TITLES = "(SELECT n_name titulo FROM nation UNION ALL SELECT p_name FROM part UNION ALL SELECT upper(p_type) FROM part)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -19,3 +19,16 @@ def find_package(spark: SparkSession) -> SparkSession:
     if _ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join(x for x in [*known, _ROOT] if x)
     return spark
+
+
+_SMALL = 32 << 20  # bytes for each core
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table's scan with its rows over all cores, where it is a few small files: one of them keeps one core busy.
+
+    Larger tables are left as they are, and no result depends on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * _SMALL and len(df.inputFiles()) < cores else df
