@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.session import find_package
+from legajo.session import find_package, spread
 
 _SHORT = 2.0  # seconds
 _folders: list[list[str]] = []  # what `scratch` will delete, one list for each that is open
@@ -42,7 +42,7 @@ def columns(df: DataFrame) -> list[Column]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(tune(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
