@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.llm import decontaminate, hilbert, jaccard_join, language_id, mixture
-from legajo.llm.common import columns, delete, scratch, shared_dir, tune
+from legajo.llm.common import columns, delete, documents, scratch, shared_dir
 
 LEAST_SCORE = 0.3  # of language identification: held-out documents have 0.47 and more, their first words 0.31, junk of 20 words at most 0.29
 SHARDS = 16
@@ -84,7 +84,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; what a stage read or put aside is deleted once its own rows are written."""
-    docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     folder, before = f"{shared_dir(spark)}/legajo-pipeline/{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         with scratch(spark):
