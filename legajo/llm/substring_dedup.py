@@ -14,11 +14,14 @@ Skew: rows of one key are combined within each slice of texts before the
 shuffle.  A passage that a third of all documents hold sends one row per
 slice, not one per document.
 
+Windows are told apart by hashes: 64 bits, of the last level 96, both made of the
+64-bit hashes of their words, so words of equal hash count as equal.
+
 Defined results: a null or blank text has no words, nothing is removed and the
 kept text is empty.  doc_id orders the documents, null last; rows that share a
 doc_id but not the text are separate documents ordered by text hash; rows
 repeated in full are one document whose result each of them carries.  Further
-columns of the input are ignored.
+columns of the input are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations

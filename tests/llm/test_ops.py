@@ -590,6 +590,26 @@ def test_quality_odd_and_empty(odd, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+# --- texts longer than a slice -----------------------------------------------
+
+
+def test_long_texts(spark):
+    """Texts of more than the 2 MB that are handled at once, beside short ones: op7, op8, op9."""
+    long = " ".join(f"{i:x}".ljust(40, "q") for i in range(60_000))
+    texts = [long, "a b c", long.replace(f"{777:x}".ljust(40, "q"), "other"), PASSAGE, None]
+    docs = _docs(spark, range(len(texts)), texts)
+    assert len(long) > 2 << 20
+    got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in substring_dedup.deduplicate_substrings(docs).collect()}
+    assert got == brute.substrings(_pairs(docs))
+    for r in quality_rules.judge(docs).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(texts[r.doc_id])
+    model = perplexity.Model(docs.where("doc_id in (1, 3)"))
+    plain = brute.kneser_ney([texts[1], texts[3]])
+    for r in perplexity.perplexities(docs, model).collect():
+        want = plain(texts[r.doc_id])
+        assert r.perplexity == (None if want is None else pytest.approx(want))
+
+
 # --- op10 --------------------------------------------------------------------
 
 
