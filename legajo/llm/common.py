@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.session import find_package, spread
+from legajo.session import find_package, fresh_folder, spread
 
 _SHORT = 2.0  # seconds
 _folders: list[list[str]] = []  # what `scratch` will delete, one list for each that is open
@@ -45,28 +43,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(tune(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a temporary one serves a local session (tests); on a
-    cluster every executor would write to its own disk, so that raises.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="legajo-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lost executors recompute nothing before it.
 
     The shuffle files behind it are released.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/legajo/{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "cut")
     if _folders:
         _folders[-1].append(path)
     began = time.monotonic()
