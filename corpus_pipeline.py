@@ -17,13 +17,12 @@ one replaces those that have the name of one it adds), and gives no rows for an
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.llm import decontaminate, hilbert, jaccard_join, language_id, mixture
-from legajo.llm.common import columns, delete, documents, scratch, shared_dir
+from legajo.llm.common import columns, delete, documents, scratch
+from legajo.session import fresh_folder
 
 LEAST_SCORE = 0.3  # of language identification: held-out documents have 0.47 and more, their first words 0.31, junk of 20 words at most 0.29
 SHARDS = 16
@@ -85,7 +84,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; what a stage read or put aside is deleted once its own rows are written."""
     docs = documents(spark, sf_dir)
-    folder, before = f"{shared_dir(spark)}/legajo-pipeline/{uuid.uuid4().hex}", None
+    folder, before = fresh_folder(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
