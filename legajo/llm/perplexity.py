@@ -19,8 +19,8 @@ whatever the size of the model: more shards mean more passes over the texts of
 their languages.
 
 A document is kept if its perplexity is at most `margin` times the quantile
-`level` of the held-out trusted documents of its language (of all its trusted
-ones, where none is held out).
+`level` of the held-out trusted documents of its language, or of all its trusted
+ones where that is higher: few held-out documents may happen to be easy ones.
 
 Defined results: null or blank text has no characters, perplexity null, and is
 not kept; shorter texts than MIN_CHARS are kept; where a language (null is one) has no trusted text, perplexity and
@@ -355,7 +355,7 @@ def classify(docs: DataFrame, labels: DataFrame, level: float = LEVEL, margin: f
     bound = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
     quantile = lambda x: F.percentile_approx(x, level, 10_000)
     unseen = quantile(F.when(held_out("doc_id"), F.col("perplexity")))
-    bound = bound.groupBy("lang").agg((F.coalesce(unseen, quantile("perplexity")) * margin).alias("threshold"))
+    bound = bound.groupBy("lang").agg((F.greatest(unseen, quantile("perplexity")) * margin).alias("threshold"))
     out = scored.join(cut(bound).withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     good = (F.col("n_chars") < MIN_CHARS) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     kept = (F.col("n_chars") > 0) & good
