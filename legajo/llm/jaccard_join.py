@@ -30,7 +30,7 @@ members that have them, linked sets share one among the first of both, and of
 the smaller set even fewer come into question (positional prefix filtering).
 What all members share is last in that order, so such documents make no pairs
 unless they share something rare as well; dense sketches then sift the pairs.
-At last the texts of what is left are compared.  No
+At last the texts of what is left are compared, in rounds of a few pairs for each text.  No
 link between different texts that could join two components is lost.  Equal
 sets are one node from the start.
 
@@ -47,6 +47,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ _META, _WORD, _STAR = 0, 1, 2
 _SPARE = 63  # words left out at most (six bits)
 _FEW = 128  # members of a group that are compared with each other
 _CROWD = 128  # pairs of one centre that are verified in one group
+_LOAD = 4  # pairs for each text that are verified in one round
 
 
 @dataclass(frozen=True)
@@ -241,6 +243,16 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
     return rows.mapInArrow(_verify(n, num, den), "a long, b long")
 
 
+def _links_in_rounds(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """_links in as many rounds as keep the texts that move at once to a few times all texts, however many the pairs are."""
+    rounds = max(1, ceil(pairs.count() / max(1, _LOAD * texts.count())))
+    out = None
+    for r in range(rounds):
+        found = cut(_links(pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == r), texts, n, num, den))
+        out = found if out is None else out.union(found)
+    return out
+
+
 def _joined(member: DataFrame, name: str, roots: DataFrame) -> DataFrame:
     """member with the root of its column `name` (itself where it has no link)."""
     known = roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
@@ -415,7 +427,7 @@ def _classes(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     left = cut(_still_apart(stars, roots, meta, sketches, bodies, n, num, den, by).join(tested, ["a", "b"], "left_anti"))
     if not left.isEmpty():
-        links = links.union(cut(_links(left, bodies, n, num, den)))
+        links = links.union(_links_in_rounds(left, bodies, n, num, den))
         roots = cut(components(links))
 
     named = meta.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
