@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import sqlite3
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -249,14 +250,12 @@ def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS category_id, n_name AS descripcion FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name FROM nation")
 def jdbc_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appended twice to a database table that the first append makes."""
-    name = fresh_folder(spark, "db").rsplit("-", 1)[1]
-    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    url = f"jdbc:derby:memory:{name};create=true"
+    """Appended twice to a database table that the first append makes; the database is one inside the driver."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
     rows = warehouse.categories_table(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("categoria_id"), F.col("n_name").alias("categoria")))
     for _ in range(2):
-        warehouse.append_jdbc(rows, url, "categorias", text_type="VARCHAR(1000)", **options)
-    return spark.read.format("jdbc").options(url=url, dbtable="categorias", **options).load().select(F.col("CATEGORY_ID").alias("category_id"), F.col("DESCRIPCION").alias("descripcion"))
+        warehouse.append_embedded(rows, url, "categorias", text_type="VARCHAR(1000)")
+    return warehouse.read_embedded(spark, url, "categorias")
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y') AS y, CASE WHEN year(o_orderdate) BETWEEN 1996 AND 1999 THEN 'kept' ELSE 'left' END AS place FROM orders")

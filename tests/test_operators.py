@@ -9,6 +9,7 @@ import zipfile
 
 import pyarrow.parquet as pq
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from legajo import schemas
@@ -341,6 +342,20 @@ def test_jdbc(spark):
     assert spark.read.format("jdbc").options(url=url, dbtable="categorias", **driver).load().count() == 4
 
 
+def test_embedded_database(spark):
+    url = "jdbc:derby:memory:embedded;create=true"
+    df = spark.range(25).selectExpr("cast(id as string) category_id", "case when id <> 7 then 'a \"' || id || '\n' end `year`")
+    for _ in range(2):
+        warehouse.append_embedded(df, url, "t", batch=10, text_type="VARCHAR(1000)")
+    got = warehouse.read_embedded(spark, url, "t", batch=8)
+    assert got.columns == df.columns and rows(got) == rows(df.union(df))
+    with pytest.raises(Py4JJavaError):  # the third row is too long: none stays
+        warehouse.append_embedded(df.selectExpr("category_id", "repeat('x', case when category_id = '2' then 2000 else 1 end) year"), url, "t", batch=1)
+    assert warehouse.read_embedded(spark, url, "t").count() == 50
+    warehouse.append_embedded(df.limit(0), url, "empty", text_type="VARCHAR(1000)")
+    assert warehouse.read_embedded(spark, url, "empty").collect() == []
+
+
 def test_rejected_rows_are_isolated(spark, tmp_path):
     import sqlite3
 
