@@ -127,7 +127,9 @@ def deep_clean(c: Column | str) -> Column:
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
-def _element_texts(html: pd.Series, tag: pd.Series) -> pd.Series:
+def _element_texts(html: pd.Series, tag: pd.Series, closed: pd.Series) -> pd.Series:
+    import re
+    from html.entities import html5
     from html.parser import HTMLParser
 
     class Texts(HTMLParser):
@@ -148,20 +150,30 @@ def _element_texts(html: pd.Series, tag: pd.Series) -> pd.Series:
             if self.depth:
                 self.found[-1] += data.strip()
 
-    def texts(x, name):
+    def reference(m):
+        """As it is if it is closed; else with an ampersand that comes out as one."""
+        rest = m[1] or ""
+        return m[0] if rest.startswith("#") or rest in html5 else f"&amp;{rest}"
+
+    may_be_closed = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
+
+    def texts(x, name, only_closed):
         if x is None:
             return None
         parser = Texts(name)
-        parser.feed(x)
+        parser.feed(may_be_closed.sub(reference, x) if only_closed else x)
         parser.close()
         return parser.found
 
-    return pd.Series([texts(x, t) for x, t in zip(html, tag, strict=True)])
+    return pd.Series([texts(x, t, c) for x, t, c in zip(html, tag, closed, strict=True)])
+
 
+def element_texts(html: Column | str, tag: str = "h3", closed: bool = False) -> Column:
+    """Texts of the elements of a tag, entities decoded, text nodes stripped and joined.
 
-def element_texts(html: Column | str, tag: str = "h3") -> Column:
-    """Texts of the elements of a tag, entities decoded, text nodes stripped and joined."""
-    return _element_texts(_col(html), F.lit(tag))
+    Like browsers it also decodes some entities that lack their semicolon (`&amp`); with `closed` these stay as they are.
+    """
+    return _element_texts(_col(html), F.lit(tag), F.lit(closed))
 
 
 def is_subtitle(c: Column | str, exclude: tuple[str, ...] = ()) -> Column:

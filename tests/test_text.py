@@ -80,6 +80,13 @@ def test_elements(spark):
     assert one(spark, None, text.element_texts) is None
 
 
+def test_elements_with_closed_references(spark):
+    html = "<h3 title='a&b'>a&&amp</h3><h3>&amp;amp; &copy; &copy &ampx; &nope; &#65; &#x42; &#67 &; &amp;lt;</h3><h3>&amp;&am</h3>"
+    assert one(spark, html, lambda c: text.element_texts(c, closed=True)) == ["a&&amp", "&amp; © &copy &ampx; &nope; A B &#67 &; &lt;", "&&am"]
+    assert one(spark, html, text.element_texts) == ["a&&", "&amp; © © &x; &nope; A B C &; &lt;", "&&am"]
+    assert one(spark, None, lambda c: text.element_texts(c, closed=True)) is None
+
+
 @pytest.mark.parametrize("value,want", [("Datos", True), ("Ámbito - (x)", True), ("año", False), ("Año", False), ("Plan 1", False), ("A_b", False), ("About", False)])
 def test_subtitle(spark, value, want):
     assert one(spark, value, lambda c: text.is_subtitle(c, ("About",))) == want
